@@ -33,25 +33,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def block_row_number(df: DataFrame, group, order, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`row_number` within `group`, without sorting a whole group in one task.
 
-    `order` is a list of (column, ...) whose last column is an integer that is
-    unique within the others (a row number). Rows are ranked inside fixed
-    blocks of that integer, and the block sizes, counted with a map-side
-    combine, give the offset of each block. A group of any size is spread
-    over its blocks; only one count per block is ever brought together."""
+    `order` is a list of columns whose last one is an integer that is unique
+    within the others (a row number). Rows are ranked inside blocks of that
+    integer; the block sizes, counted with a map-side combine, give the offset
+    of each block. A group of any size is spread over its blocks, and only one
+    count per block is ever brought together. The block width follows the
+    spread of the integer, so that a block holds about `block_rows` rows even
+    when the numbers have gaps."""
     *lead, last = order
-    blocked = df.withColumn("_block", F.floor(F.col(last) / F.lit(block_rows)))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows))
+    width = df.agg(F.greatest(F.lit(1), F.ceil((F.max(last) - F.min(last) + 1) / n_blocks)).cast("bigint")).scalar()
+    blocked = df.withColumn("_block", F.floor(F.col(last) / width))
     keys = [*group, *lead, "_block"]
     sizes = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy(*lead, "_block").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     ranked = blocked.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy(last)))
-    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    offsets = offsets.select(*renamed, "_offset")
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
+    offsets = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_offset")
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     joined = ranked.join(offsets, cond, "inner")
     return joined.withColumn(name, F.col("_in") + F.col("_offset")).drop(
         "_block", "_in", "_offset", *[f"_k{i}" for i in range(len(keys))])

@@ -1,12 +1,16 @@
 """All registered queries with their SQL equivalents."""
 
-from . import settlement
+from . import names, settlement
 
 # module -> query names; a query has an SQL twin when the upper-case name exists.
 _MODULES = [
     (settlement, ["asof_site", "latest_site", "center_resolve", "missing_sites", "share_allocate",
                   "remainder_settle", "pool_split", "control_close", "control_totals", "detail_check",
                   "dedup_exact", "dedup_suspects", "dedup_overlap"]),
+    (names, ["name_keys", "clean_text", "surname_forms", "token_stats", "roster_profile", "secondary_profile",
+             "exact_match", "subset_join", "unjoined_names", "known_identities", "secondary_match", "family",
+             "translit", "prefix", "fuzzy", "cascade_methods", "person_search", "unmatched_causes", "ledger_feed",
+             "ledger_report", "bridge_derive", "alias_derive", "ledger_merge", "bridge_summary"]),
 ]
 
 QUERIES = {name: getattr(module, name) for module, names in _MODULES for name in names}

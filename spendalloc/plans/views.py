@@ -154,7 +154,7 @@ def mention(spark, sf_dir) -> DataFrame:
         .when(k == 1, F.array_join(F.reverse(w), " "))
         .when(k == 2, head)
         .when(k == 3, F.concat(F.array_join(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), " "), F.lit(" "),
-                               F.element_at(before, -1), last))
+                               F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("")), last))
         .when(k == 4, F.concat(head, F.lit(" "), F.left(last, F.greatest(F.length(last) - 2, F.lit(4)))))
         .otherwise(F.concat(F.left("full_name", F.length("full_name") - 1), F.lit("Q")))
     )

@@ -117,7 +117,7 @@ def _settle(source: str) -> str:
     """SQL of the candidate rule over (norm, staff_id, site, seq, other, method, confidence)."""
     return f"""
 SELECT norm, CASE WHEN n = 1 OR same THEN first END AS staff_id, method,
-       CASE WHEN n = 1 THEN conf WHEN same THEN 0.58 ELSE 0.55 END AS confidence, n AS candidate_count
+       CAST(CASE WHEN n = 1 THEN conf WHEN same THEN 0.58 ELSE 0.55 END AS DOUBLE) AS confidence, n AS candidate_count
 FROM (SELECT norm, any_value(method) AS method, max(confidence) AS conf, count(*) AS n, min(site) = max(site) AS same,
              arg_min(staff_id, (other, seq, staff_id)) AS first
       FROM (SELECT norm, staff_id, any_value(site) AS site, min(other) AS other, min(seq) AS seq, any_value(method) AS method,
@@ -160,10 +160,10 @@ v_sub AS (SELECT s.norm, i.staff_id, i.site, i.seq, 0 AS other, 'subset' AS meth
           FROM v_sub0 s JOIN (SELECT norm, bool_or(sn) AS any_sn FROM v_sub0 GROUP BY 1) b USING (norm)
           JOIN v_ids i ON i.norm = s.rnorm WHERE NOT any_sn OR sn),
 v_sup0 AS (SELECT m.norm, r.norm AS rnorm,
-                  len(list_filter(m.toks, t -> NOT list_contains(r.toks, t) AND list_contains((SELECT list(token) FROM v_freq), t))) > 0 AS named
-           FROM v_more m JOIN v_rn r ON len(m.toks) >= 3 AND len(r.toks) >= 2 AND len(r.toks) < len(m.toks)
+                  len(list_filter(list_intersect(m.toks, lex), lambda t: NOT list_contains(r.toks, t))) > 0 AS named
+           FROM v_more m CROSS JOIN (SELECT list(token) AS lex FROM v_freq) JOIN v_rn r ON len(m.toks) >= 3 AND len(r.toks) >= 2 AND len(r.toks) < len(m.toks)
              AND list_has_all(m.toks, r.toks)
-           WHERE (SELECT min(freq) FROM v_freq WHERE list_contains(r.toks, token)) <= 2000),
+           ),
 v_sup AS (SELECT s.norm, i.staff_id, i.site, i.seq, 0 AS other, 'subset' AS method, 0.72 AS confidence
           FROM v_sup0 s JOIN v_ids i ON i.norm = s.rnorm),
 v_supset AS ({_settle('SELECT * FROM v_sup')}),
@@ -171,7 +171,7 @@ v_third AS (SELECT norm, bool_and(named) AS third FROM v_sup0 GROUP BY 1)"""
 SUBSET_JOIN = V.with_sql(f"""
 SELECT norm, staff_id, method, confidence, candidate_count, 'subset' AS step FROM ({_settle('SELECT * FROM v_sub')})
 UNION ALL
-SELECT norm, CASE WHEN NOT third THEN staff_id END, method, CASE WHEN third THEN 0.5 ELSE confidence END, candidate_count, 'superset'
+SELECT norm, CASE WHEN NOT third THEN staff_id END, method, CAST(CASE WHEN third THEN 0.5 ELSE confidence END AS DOUBLE), candidate_count, 'superset'
 FROM v_supset JOIN v_third USING (norm)""", V.ROSTER, V.MENTION, _IDS, _NAMES, _BIGGER)
 
 
@@ -252,6 +252,7 @@ v_alias AS (SELECT *, {V.TKEY_SQL.format('norm')} AS tkey FROM v_alias0 WHERE se
 v_aliast AS (SELECT tkey, arg_min(aid, seq) AS tid FROM v_alias GROUP BY 1),
 v_ext AS (SELECT norm, {V.TKEY_SQL.format('norm')} AS tkey, {V.SIG_SQL.format('norm')} AS sig FROM v_roster WHERE norm <> '' AND doc_id % 13 = 3)"""
 KNOWN_IDENTITIES = V.with_sql(f"""
+SELECT step, key, staff_id, CAST(confidence AS DOUBLE) AS confidence, candidate_count FROM (
 SELECT 'staff_id' AS step, sid || '|' || nid || '|' || m.norm || '|' || pref AS key, sid AS staff_id,
        CASE WHEN m.norm = '' OR r.norm = '' OR list_has_any(string_split(m.norm, ' '), rt) THEN 1.0 ELSE 0.75 END AS confidence, 1 AS candidate_count
 FROM v_m m JOIN v_r r ON sid = staff_id
@@ -266,7 +267,7 @@ FROM (SELECT h.norm, h.aid, (SELECT count(DISTINCT staff_id) FROM v_ids i WHERE
             LEFT JOIN v_aliast t ON t.tkey = x.tkey) h WHERE aid IS NOT NULL)
 UNION ALL
 SELECT 'external', norm, NULL, 0.95, 0 FROM v_names x
-WHERE norm IN (SELECT norm FROM v_ext) OR tkey IN (SELECT tkey FROM v_ext) OR {V.SIG_SQL.format('norm')} IN (SELECT sig FROM v_ext)""",
+WHERE norm IN (SELECT norm FROM v_ext) OR tkey IN (SELECT tkey FROM v_ext) OR {V.SIG_SQL.format('norm')} IN (SELECT sig FROM v_ext))""",
                              V.ROSTER, V.MENTION, _IDS, _NAMES, _KNOWN)
 
 
@@ -283,6 +284,7 @@ def secondary_match(spark, d) -> DataFrame:
 
 
 SECONDARY_MATCH = V.with_sql(f"""
+SELECT norm, staff_id, method, CAST(confidence AS DOUBLE) AS confidence, candidate_count FROM (
 SELECT norm, CASE WHEN n = 1 THEN sid END AS staff_id,
        CASE WHEN n = 1 AND main THEN 'exact_name' ELSE 'secondary' END AS method,
        CASE WHEN n = 1 AND main THEN 0.92 WHEN n = 1 THEN 0.90 ELSE 0.55 END AS confidence, n AS candidate_count
@@ -291,7 +293,7 @@ FROM (SELECT norm, count(DISTINCT staff_id) AS n, arg_min(staff_id, doc_id) AS s
             FROM v_names x JOIN v_sec s USING (tkey)) WHERE same OR NOT any_same GROUP BY norm)
 UNION ALL
 SELECT norm, NULL, 'extra', 0.70, 0 FROM v_names
-WHERE norm IN (SELECT norm FROM v_extra) OR tkey IN (SELECT tkey FROM v_extra WHERE norm LIKE '% %')""",
+WHERE norm IN (SELECT norm FROM v_extra) OR tkey IN (SELECT tkey FROM v_extra WHERE norm LIKE '% %'))""",
                             V.ROSTER, V.MENTION, _IDS, _NAMES, f"""
 v_sec AS (SELECT norm, staff_id, doc_id, {V.TKEY_SQL.format('norm')} AS tkey FROM v_roster WHERE norm <> '' AND doc_id % 2 = 0),
 v_extra AS (SELECT norm, {V.TKEY_SQL.format('norm')} AS tkey FROM v_roster WHERE norm <> '' AND doc_id % 3 = 0)""")
@@ -312,7 +314,7 @@ def family(spark, d) -> DataFrame:
 
 FAMILY = V.with_sql(f"""
 SELECT norm, pref, CASE WHEN grade = 3 THEN sure_id WHEN grade > 0 THEN first END AS staff_id,
-       CASE grade WHEN 3 THEN 0.60 WHEN 2 THEN 0.50 WHEN 1 THEN 0.45 ELSE 0.30 END AS confidence, n AS candidate_count
+       CAST(CASE grade WHEN 3 THEN 0.60 WHEN 2 THEN 0.50 WHEN 1 THEN 0.45 ELSE 0.30 END AS DOUBLE) AS confidence, n AS candidate_count
 FROM (SELECT *, row_number() OVER (PARTITION BY norm, pref ORDER BY grade DESC, p DESC, liked DESC, is_first DESC) AS rn
       FROM v_graded) WHERE rn = 1""", V.ROSTER, V.MENTION, _IDS, _NAMES, f"""
 v_exact AS ({_settle(_EXACT)}),
@@ -437,14 +439,14 @@ def bridge_derive(spark, d) -> DataFrame:
 
 
 BRIDGE_DERIVE = V.with_sql("""
-SELECT nid AS national_id, arg_min(born, at) AS staff_id, 'name_birth' AS method, 0.97 AS confidence
-FROM (SELECT nid, norm, birth_date, at, count(DISTINCT CASE WHEN rbirth = birth_date THEN cand END) AS n_born,
+SELECT nid AS national_id, arg_min(born, t0) AS staff_id, 'name_birth' AS method, CAST(0.97 AS DOUBLE) AS confidence
+FROM (SELECT nid, norm, birth_date, t0, count(DISTINCT CASE WHEN rbirth = birth_date THEN cand END) AS n_born,
              min(CASE WHEN rbirth = birth_date THEN cand END) AS born
       FROM (SELECT p.*, i.staff_id AS cand, r.birth_date AS rbirth,
                    CASE WHEN i.norm = p.norm THEN 1 WHEN i.norm = array_to_string(list_reverse(string_split(p.norm, ' ')), ' ') THEN 2 ELSE 3 END AS way,
                    min(CASE WHEN i.norm = p.norm THEN 1 WHEN i.norm = array_to_string(list_reverse(string_split(p.norm, ' ')), ' ') THEN 2 ELSE 3 END)
                      OVER (PARTITION BY p.norm) AS best
-            FROM (SELECT nid, norm, tkey, birth_date, min(doc_id) AS at FROM v_health WHERE nid <> '' AND norm <> '' GROUP BY ALL) p
+            FROM (SELECT nid, norm, tkey, birth_date, min(doc_id) AS t0 FROM v_health WHERE nid <> '' AND norm <> '' GROUP BY ALL) p
             JOIN v_ids i USING (tkey) JOIN v_roster r ON r.staff_id = i.staff_id) WHERE way = best GROUP BY ALL)
 WHERE n_born = 1 GROUP BY nid""", V.ROSTER, V.MENTION, _IDS, _HEALTH)
 

@@ -174,7 +174,7 @@ v_mention AS (
   SELECT doc_id, birth_date, site, CASE WHEN k IN (0, 3) THEN 'Bilet' ELSE 'Otel' END AS category,
     trim(CASE k WHEN 0 THEN norm WHEN 1 THEN array_to_string(list_reverse(w), ' ')
       WHEN 2 THEN array_to_string(w[1:n-1], ' ')
-      WHEN 3 THEN array_to_string(w[1:n-2], ' ') || ' ' || w[n-1] || w[n]
+      WHEN 3 THEN coalesce(array_to_string(CASE WHEN n > 2 THEN w[1:n-2] END, ' '), '') || ' ' || coalesce(CASE WHEN n > 1 THEN w[n-1] END, '') || w[n]
       WHEN 4 THEN array_to_string(w[1:n-1], ' ') || ' ' || left(w[n], greatest(length(w[n]) - 2, 4))
       ELSE left(norm, length(norm) - 1) || 'Q' END) AS mnorm
   FROM v_words)"""

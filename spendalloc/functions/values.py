@@ -18,88 +18,68 @@ def cell_text(c) -> Column:
 
 
 def parse_amount(c) -> Column:
-    """struct(value DECIMAL(18,6), note) of an amount text."""
+    """struct(value DECIMAL(18,6), note) of an amount text.
+
+    Each step rewrites the text towards a plain number; what is no number in
+    the end is null."""
     t = cell_text(c)
-    bracketed = t.rlike(r"^\(.*\)$")
-    inner = F.when(bracketed, F.regexp_replace(t, r"^\(|\)$", "")).otherwise(t)
+    inner = F.regexp_replace(t, r"^\((.*)\)$", "$1")
     kept = F.regexp_replace(inner, r"[^\d,.\-+eE]", "")
-    sci = kept.rlike(r"^[-+]?\d+(?:[.,]\d+)?[eE][-+]?\d+$")
-    body = F.regexp_replace(kept, "[eE]", "")
-    minus = body.startswith("-") | body.endswith("-")
+    # An e stays only inside scientific notation.
+    body = F.regexp_replace(kept, r"[eE](?!(?<=^[-+]?\d{1,40}(?:[.,]\d{1,40})?[eE])[-+]?\d+$)", "")
     b = F.regexp_replace(body, r"^[-+]+|[-+]+$", "")
-    dots = F.length(b) - F.length(F.replace(b, F.lit("."), F.lit("")))
-    commas = F.length(b) - F.length(F.replace(b, F.lit(","), F.lit("")))
-    no_dot = F.replace(b, F.lit("."), F.lit(""))
-    no_comma = F.replace(b, F.lit(","), F.lit(""))
-    dot_for_comma = F.replace(b, F.lit(","), F.lit("."))
-    grouped = b.rlike(r"^\d{1,3}\.\d{3}$") & ~b.startswith("0.")
-    plain = (
-        F.when(~b.rlike(r"\d") | b.rlike(r"[-+]"), None)
-        .when((dots > 0) & (commas > 0),
-              F.when(b.rlike(r",[^.,]*$"), F.replace(no_dot, F.lit(","), F.lit("."))).otherwise(no_comma))
-        .when(dots > 1, F.when(b.rlike(r"^\d{1,3}(?:\.\d{3})+$"), no_dot))
-        .when(dots == 1, F.when(grouped, no_dot).otherwise(b))
-        .when(commas > 1, F.when(b.rlike(r"^\d{1,3}(?:,\d{3})+$"), no_comma))
-        .when(commas == 1, dot_for_comma)
-        .otherwise(b)
-    )
-    value = F.when(sci, F.replace(kept, F.lit(","), F.lit("."))).otherwise(plain).try_cast(MONEY)
-    negative = bracketed | (~sci & minus)
-    note = F.when(~sci & (dots == 1) & (commas == 0) & grouped & value.isNotNull(), THOUSANDS_ASSUMED)
-    return F.struct(
-        F.when(negative, -value).otherwise(value).cast(MONEY).alias("value"),
-        note.alias("note"),
-    )
-
-
-def _ymd(y, m, d) -> Column:
-    """Date from text parts, null when it does not exist."""
-    return F.try_to_date(
-        F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    grouped_dot = (r"(?<=^\d{1,3})\.(?=\d{3}(?:\.\d{3})+$)|(?<=^\d{1,3}(?:\.\d{3}){1,9})\.(?=\d{3}(?:\.\d{3})*$)"
+                   r"|(?<=^(?!0\.)\d{1,3})\.(?=\d{3}$)")
+    grouped_comma = (r"(?<=^\d{1,3}),(?=\d{3}(?:,\d{3})+$)|(?<=^\d{1,3}(?:,\d{3}){1,9}),(?=\d{3}(?:,\d{3})*$)")
+    plain = b
+    for pattern, new in (
+        (grouped_dot, ""), (grouped_comma, ""),
+        (r"\.(?=[\d.]*,\d*$)", ""),                               # 1.234,56
+        (r",(?=[\d,]*\.\d*$)", ""),                               # 1,234.56
+        (r"^(\d*),(\d*(?:[eE][-+]?\d+)?)$", "$1.$2"),
+    ):
+        plain = F.regexp_replace(plain, pattern, new)
+    value = plain.try_cast(MONEY)
+    negative = t.startswith("(") & t.endswith(")") | body.rlike("^-|-$")
+    note = F.when(b.rlike(r"^(?!0\.)\d{1,3}\.\d{3}$"), THOUSANDS_ASSUMED)
+    return F.struct(F.when(negative, -value).otherwise(value).cast(MONEY).alias("value"), note.alias("note"))
+
+
+_MONTHS = ("jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?", "aug(?:ust)?",
+           "sep(?:tember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?")
 
 
 def parse_date(c) -> Column:
     """Date text, day first, month first only when the day reading fails.
 
-    A lone year is not a date; a plain number is a spreadsheet serial."""
-    t = cell_text(c)
+    The text is rewritten to year-month-day form. A lone year is not a date; a
+    plain number is a spreadsheet serial."""
     x = F.trim(F.regexp_replace(
-        t, r"(?:[T ]\s*\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)$", ""))
-
-    def part(pattern, i):
-        return F.regexp_extract(x, pattern, i)
-
-    dmy = r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})$"
-    ymd = r"^(\d{4})([-./])(\d{1,2})\2(\d{1,2})$"
-    packed = r"^(\d{4})(\d{2})(\d{2})$"
-    month = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
-             r"sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
-    dby = rf"(?i)^(\d{{1,2}}) {month} (\d{{4}})$"
-    bdy = rf"(?i)^{month} (\d{{1,2}}), (\d{{4}})$"
-    year = part(dmy, 4)
-    full = F.when(F.length(year) == 4, year).when(
-        year.try_cast("int") >= 69, F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
-
-    def month_no(text):
-        abbr = F.lower(F.left(text, F.lit(3)))
-        return ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), abbr) + 2) / 3) \
-            .cast("int").cast("string")
-
-    number = F.replace(x, F.lit(","), F.lit(".")).try_cast("double")
-    whole_year = (number == F.floor(number)) & number.between(1900, 2100)
+        cell_text(c), r"(?:[T ]\s*\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)$", ""))
+    iso = x
+    for i, month in enumerate(_MONTHS, 1):
+        iso = F.regexp_replace(iso, rf"(?i)(?<=^\d{{1,2}} ){month}(?= \d{{4}}$)|^{month}(?= \d{{1,2}}, \d{{4}}$)", f"{i:02d}")
+    full = r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4})$"
+    for pattern, new in (
+        (r"^(\d{1,2}) (\d{2}) (\d{4})$", "$3-$2-$1"),
+        (r"^(\d{2}) (\d{1,2}), (\d{4})$", "$3-$1-$2"),
+        (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+        (full, "$4-$3-$1"),
+        (r"^(\d{1,2})([./-])(\d{1,2})\2(69|[7-9]\d)$", "19$4-$3-$1"),
+        (r"^(\d{1,2})([./-])(\d{1,2})\2(\d{2})$", "20$4-$3-$1"),
+        (r"^(\d{4})([./])(\d{1,2})\2(\d{1,2})$", "$1-$3-$4"),
+    ):
+        iso = F.regexp_replace(iso, pattern, new)
+    ymd = r"^\d{4}-\d{1,2}-\d{1,2}$"
+    swapped = F.regexp_replace(x, full, "$4-$1-$3")
+    number = F.when(x.rlike(r"^\d+(?:[.,]\d+)?$"), F.replace(x, F.lit(","), F.lit(".")).try_cast("double"))
+    lone_year = x.rlike(r"^(?:19\d\d|20\d\d|2100)(?:[.,]0+)?$")
     # Serials below 60 precede the fictitious leap day of 1900.
-    serial = F.when(number.between(1, 80000) & ~whole_year & x.rlike(r"^[\d.,]+$"), F.date_add(
-        F.when(number < 60, F.lit("1899-12-31").cast("date")).otherwise(
-            F.lit("1899-12-30").cast("date")), F.floor(number).cast("int")))
+    serial = F.when(number.between(1, 80000) & ~lone_year, F.date_add(
+        F.lit("1899-12-30").cast("date"), (F.floor(number) + F.when(number < 60, 1).otherwise(0)).cast("int")))
     return F.coalesce(
-        F.when(x.rlike(dmy), _ymd(full, part(dmy, 3), part(dmy, 1))),
-        F.when(x.rlike(ymd), _ymd(part(ymd, 1), part(ymd, 3), part(ymd, 4))),
-        F.when(x.rlike(packed), _ymd(part(packed, 1), part(packed, 2), part(packed, 3))),
-        F.when(x.rlike(dby), _ymd(part(dby, 3), month_no(part(dby, 2)), part(dby, 1))),
-        F.when(x.rlike(bdy), _ymd(part(bdy, 3), month_no(part(bdy, 1)), part(bdy, 2))),
-        F.when(x.rlike(dmy) & (F.length(year) == 4), _ymd(year, part(dmy, 1), part(dmy, 3))),
-        serial,
-    )
+        F.try_to_date(F.regexp_extract(iso, ymd, 0), "yyyy-M-d"),
+        F.try_to_date(F.regexp_extract(swapped, ymd, 0), "yyyy-M-d"), serial)
 
 
 def national_id(c, strict: bool = True) -> Column:

@@ -77,10 +77,7 @@ def _matches(key, synonym) -> Column:
     k, s = F.col(key), F.col(synonym)
     banned = F.lit(False)
     for short, words in V.SHORT_EXCLUSIONS.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | k.contains(w)
-        banned = banned | ((s == short) & hit)
+        banned = banned | ((s == short) & k.rlike("|".join(words)))
     word = F.exists(F.split(k, " "), lambda w: w.startswith(s) & F.substring(
         w, F.length(s) + 1, F.length(w)).isin(*V.SHORT_SUFFIXES))
     return F.when(F.length(s) <= V.SHORT_SYNONYM, word & ~banned).otherwise(k.contains(s))
@@ -95,10 +92,7 @@ def resolve_columns(headers: DataFrame, synonyms: DataFrame) -> DataFrame:
     keys = headers.select("key").distinct().select("key", F.explode(syn).alias("s")).select("key", "s.*")
     excluded = F.lit(False)
     for field, words in V.FIELD_EXCLUSIONS.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.col("key").contains(w)
-        excluded = excluded | ((F.col("field") == field) & hit)
+        excluded = excluded | ((F.col("field") == field) & F.col("key").rlike("|".join(words)))
     exact = F.col("key") == F.col("synonym")
     keys = keys.filter(~excluded & (exact | _matches("key", "synonym"))).withColumn(
         "phase", F.when(exact, 0).otherwise(1))
@@ -130,10 +124,7 @@ def validate_id_columns(cells: DataFrame, resolved: DataFrame) -> DataFrame:
 def drop_pivot_sheets(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """H5: sheets with pivot marks at or above the header row are summaries, not lists."""
     c = cells.join(headers, SHEET).filter(F.col("row") <= F.col("header_row")).withColumn("key", column_key("value"))
-    mark = F.lit(False)
-    for m in V.PIVOT_MARKS:
-        mark = mark | F.col("key").contains(m)
-    mark = mark | ((F.col("row") == F.col("header_row")) & F.col("key").isin(*V.PIVOT_HEADERS))
+    mark = F.col("key").rlike("|".join(V.PIVOT_MARKS)) | ((F.col("row") == F.col("header_row")) & F.col("key").isin(*V.PIVOT_HEADERS))
     return cells.join(c.filter(mark).select(*SHEET).distinct(), SHEET, "left_anti")
 
 

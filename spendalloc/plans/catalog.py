@@ -1,6 +1,6 @@
 """All registered queries with their SQL equivalents."""
 
-from . import landing, names, reports, settlement
+from . import landing, names, reports, settlement, streams
 
 # module -> query names; a query has an SQL twin when the upper-case name exists.
 _MODULES = [
@@ -17,6 +17,7 @@ _MODULES = [
     (landing, ["header_resolve", "cells_to_lines", "repeat_sheets", "content_dedup", "same_name", "registers",
                "parse_values", "parse_ids", "parse_labels", "travel_ledger", "assessment", "invoice_fields",
                "message_items", "attendance"]),
+    (streams, ["stream_once", "stream_control", "stream_resolve"]),
 ]
 
 QUERIES = {name: getattr(module, name) for module, names in _MODULES for name in names}

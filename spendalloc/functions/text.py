@@ -68,7 +68,7 @@ def fold(c) -> Column:
 
     Plain ASCII rows skip the letter tables."""
     x = F.coalesce(col(c).cast("string"), F.lit(""))
-    up = F.upper(F.translate(x, "ıİ", "II"))
+    up = F.upper(F.replace(F.replace(x, F.lit("ı"), F.lit("I")), F.lit("İ"), F.lit("I")))
     return F.when(x.rlike(r"[^\x00-\x7F]"), ascii_fold(up)).otherwise(F.upper(x))
 
 
@@ -80,7 +80,7 @@ def name_norm(c) -> Column:
 def tokens(norm) -> Column:
     """Sorted distinct words of a canonical name."""
     n = col(norm)
-    return F.array_sort(F.array_distinct(F.filter(F.split(n, " "), lambda t: t != "")))
+    return F.sort_array(F.array_remove(F.array_distinct(F.split(n, " ")), ""))
 
 
 def token_key(norm) -> Column:
@@ -91,7 +91,7 @@ def token_key(norm) -> Column:
 def letter_sig(norm) -> Column:
     """Sorted letters of a canonical name; ignores order and spacing."""
     letters = F.split(F.replace(col(norm), F.lit(" "), F.lit("")), "")
-    return F.array_join(F.array_sort(letters), "")
+    return F.array_join(F.sort_array(letters), "")
 
 
 def clean_person(c) -> Column:

@@ -32,6 +32,8 @@ def parse_amount(c) -> Column:
                    r"|(?<=^(?!0\.)\d{1,3})\.(?=\d{3}$)")
     grouped_comma = (r"(?<=^\d{1,3}),(?=\d{3}(?:,\d{3})+$)|(?<=^\d{1,3}(?:,\d{3}){1,9}),(?=\d{3}(?:,\d{3})*$)")
     plain = b
+    # Digits with one decimal point need no rewriting.
+    marked = b.rlike(r",|\..*\.|^\d{1,3}\.\d{3}$")
     for pattern, new in (
         (grouped_dot, ""), (grouped_comma, ""),
         (r"\.(?=[\d.]*,\d*$)", ""),                               # 1.234,56
@@ -39,7 +41,7 @@ def parse_amount(c) -> Column:
         (r"^(\d*),(\d*(?:[eE][-+]?\d+)?)$", "$1.$2"),
     ):
         plain = F.regexp_replace(plain, pattern, new)
-    value = plain.try_cast(MONEY)
+    value = F.when(marked, plain).otherwise(b).try_cast(MONEY)
     negative = t.startswith("(") & t.endswith(")") | body.rlike("^-|-$")
     note = F.when(b.rlike(r"^(?!0\.)\d{1,3}\.\d{3}$"), THOUSANDS_ASSUMED)
     return F.struct(F.when(negative, -value).otherwise(value).cast(MONEY).alias("value"), note.alias("note"))
@@ -56,13 +58,15 @@ def parse_date(c) -> Column:
     plain number is a spreadsheet serial."""
     x = F.trim(F.regexp_replace(
         cell_text(c), r"(?:[T ]\s*\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?)$", ""))
-    iso = x
+    worded = x
     for i, month in enumerate(_MONTHS, 1):
-        iso = F.regexp_replace(iso, rf"(?i)(?<=^\d{{1,2}} ){month}(?= \d{{4}}$)|^{month}(?= \d{{1,2}}, \d{{4}}$)", f"{i:02d}")
+        worded = F.regexp_replace(worded, rf"(?i)(?<=^\d{{1,2}} ){month}(?= \d{{4}}$)|^{month}(?= \d{{1,2}}, \d{{4}}$)", f"{i:02d}")
+    worded = F.regexp_replace(worded, r"^(\d{1,2}) (\d{2}) (\d{4})$", "$3-$2-$1")
+    worded = F.regexp_replace(worded, r"^(\d{2}) (\d{1,2}), (\d{4})$", "$3-$1-$2")
+    # Month names are looked for only where there are letters.
+    iso = F.when(x.rlike("[A-Za-z]"), worded).otherwise(x)
     full = r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4})$"
     for pattern, new in (
-        (r"^(\d{1,2}) (\d{2}) (\d{4})$", "$3-$2-$1"),
-        (r"^(\d{2}) (\d{1,2}), (\d{4})$", "$3-$1-$2"),
         (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
         (full, "$4-$3-$1"),
         (r"^(\d{1,2})([./-])(\d{1,2})\2(69|[7-9]\d)$", "19$4-$3-$1"),

@@ -69,12 +69,14 @@ def explode_shares(lines: DataFrame, keys: DataFrame, inherited: bool = True) ->
 
     e = df.filter(some).select(*cols, F.posexplode("_shares").alias("_pos", "_s"))
     e = e.withColumns({"_label": F.trim("_s.label"), "_num": F.col("_s.num"), "_den": F.col("_s.den")})
-    right = keys.select(F.col("key").alias("_mk"), F.col("code").alias("_code"), F.col("name").alias("_cname"),
-                        F.col("company").alias("_ccomp"))
-    e = e.join(right, site_key("_label") == F.col("_mk"), "left")
-    canon = company_of("_label")
-    project = F.col("_mk").isNotNull()
-    valid = (F.col("_num") > 0) & (project | canon.isNotNull() | is_entity("_label"))
+    # Labels repeat: each distinct one is read and looked up once.
+    labels = e.select("_label").distinct().withColumns({
+        "_lkey": site_key("_label"), "_canon": company_of("_label"), "_entity": is_entity("_label")})
+    right = keys.select(F.col("key").alias("_lkey"), F.col("code").alias("_code"), F.col("name").alias("_cname"),
+                        F.col("company").alias("_ccomp"), F.lit(True).alias("_hit"))
+    e = e.join(labels.join(right, "_lkey", "left").drop("_lkey"), "_label", "left")
+    canon, project = F.col("_canon"), F.coalesce("_hit", F.lit(False))
+    valid = (F.col("_num") > 0) & (project | canon.isNotNull() | F.col("_entity"))
     e = e.withColumns({
         "_valid": F.coalesce(valid, F.lit(False)),
         "_note": F.concat("_label", F.lit(" "), "_num", F.lit("/"), "_den"),

@@ -7,17 +7,21 @@ from ..functions.text import clean_person, fold, letter_sig, masculine, name_nor
 from ..operators import cascade as C
 from ..operators import ledgers, measure, roster
 from ..operators.centers import decide_match
+from ..operators.common import cut_lineage
 from . import views as V
 
 _MATCH = ["norm", "staff_id", "method", "confidence", "candidate_count"]
 
 
-def _roster(spark, d):
-    return roster.build_roster(V.roster(spark, d))
+def _base(spark, d):
+    """The name roster, read from the documents once per query."""
+    return cut_lineage(V.roster(spark, d))
 
 
-def _names(spark, d) -> DataFrame:
-    return C.open_names(C.mentions(V.mention(spark, d)))
+def _both(spark, d):
+    """(distinct names of the mentions, roster indexes)."""
+    base = _base(spark, d)
+    return C.open_names(C.mentions(V.mention(spark, d, base))), roster.build_roster(base)
 
 
 # --- N1-N5, N20 --------------------------------------------------------------
@@ -126,7 +130,7 @@ FROM (SELECT norm, any_value(method) AS method, max(confidence) AS conf, count(*
 
 def exact_match(spark, d) -> DataFrame:
     """Same name or same word set, with the rule for several candidates."""
-    return C.by_exact(_names(spark, d), _roster(spark, d)).select(*_MATCH)
+    return C.by_exact(*_both(spark, d)).select(*_MATCH)
 
 
 _EXACT = """SELECT n.norm, i.staff_id, i.site, i.seq, CAST(i.norm <> n.norm AS INTEGER) AS other,
@@ -134,16 +138,18 @@ _EXACT = """SELECT n.norm, i.staff_id, i.site, i.seq, CAST(i.norm <> n.norm AS I
 EXACT_MATCH = V.with_sql(_settle(_EXACT), V.ROSTER, V.MENTION, _IDS, _NAMES)
 
 
-def _with_surplus(spark, d) -> DataFrame:
+def _with_surplus(names, base) -> DataFrame:
     """Mention names, and roster names with one more word."""
-    r = V.roster(spark, d).filter("full_name <> ''").select(F.concat("full_name", F.lit(" SRC")).alias("norm"))
+    r = base.filter("full_name <> ''").select(F.concat("full_name", F.lit(" SRC")).alias("norm"))
     extra = r.distinct().withColumns({"toks": tokens("norm"), "tkey": token_key("norm")})
-    return _names(spark, d).unionByName(extra).distinct()
+    return names.unionByName(extra).distinct()
 
 
 def subset_join(spark, d) -> DataFrame:
     """Names inside a longer roster name, and roster names inside a longer name."""
-    n, r = _with_surplus(spark, d), _roster(spark, d)
+    base = _base(spark, d)
+    n = _with_surplus(C.open_names(C.mentions(V.mention(spark, d, base))), base)
+    r = roster.build_roster(base)
     sub = C.by_subset(n, r).select(*_MATCH)
     sup = C.by_superset(n, r).select(*_MATCH)
     return sub.withColumn("step", F.lit("subset")).unionByName(sup.withColumn("step", F.lit("superset")))
@@ -177,7 +183,7 @@ FROM v_supset JOIN v_third USING (norm)""", V.ROSTER, V.MENTION, _IDS, _NAMES, _
 
 def unjoined_names(spark, d) -> DataFrame:
     """Glued words opened by the roster's own words, then matched exactly."""
-    n, r = _names(spark, d), _roster(spark, d)
+    n, r = _both(spark, d)
     rest = n.join(r.ids.select("tkey").distinct(), "tkey", "left_anti")
     opened = C.unjoined_names(rest, r)
     return C.by_exact(opened, r, 0.92).select(*_MATCH)
@@ -207,12 +213,13 @@ v_open AS (SELECT norm, array_to_string(list_sort(list_distinct(flatten(list(coa
 
 def _known(spark, d):
     """Mentions with ids and ledgers derived from the documents' numbers."""
-    m = V.mention(spark, d)
+    base = _base(spark, d)
+    m = V.mention(spark, d, base)
     k = F.col("row_no")
     m = m.withColumns({
         "staff_id_raw": F.when(k % 7 == 0, F.concat(k, F.lit(".0"))).when(k % 7 == 1, F.concat(F.lit("X"), k)),
         "national_id_raw": F.when(k % 5 == 0, F.concat(F.lit("1"), F.lpad(k.cast("string"), 10, "0")))})
-    r = V.roster(spark, d).withColumn("norm", name_norm("full_name")).filter("norm <> ''")
+    r = base.withColumn("norm", name_norm("full_name")).filter("norm <> ''")
     s = F.col("load_seq")
     ledger = {
         "bridge": r.filter(s % 10 == 0).select(
@@ -222,13 +229,13 @@ def _known(spark, d):
         "external": r.filter(s % 13 == 3).select(F.col("norm").alias("name_norm"), "full_name", "load_seq"),
         "extra": r.filter(s % 3 == 0).select(F.col("norm").alias("key"), "full_name", "load_seq"),
     }
-    return m, r, ledger
+    return m, r, ledger, base
 
 
 def known_identities(spark, d) -> DataFrame:
     """Ids on the line, bridged national ids, aliases and external persons."""
-    m, _, ledger = _known(spark, d)
-    r = _roster(spark, d)
+    m, _, ledger, base = _known(spark, d)
+    r = roster.build_roster(base)
     men = C.mentions(m)
     given = C.by_staff_id(men, r.latest)
     bridged = C.by_national_id(men, ledger["bridge"], r.latest)
@@ -273,10 +280,10 @@ WHERE norm IN (SELECT norm FROM v_ext) OR tkey IN (SELECT tkey FROM v_ext) OR {V
 
 def secondary_match(spark, d) -> DataFrame:
     """The undated roster and the extra-person ledger."""
-    m, r, ledger = _known(spark, d)
+    m, r, ledger, base = _known(spark, d)
     names = C.open_names(C.mentions(m))
     sec = r.withColumn("tkey", token_key("norm")).filter(F.col("load_seq") % 2 == 0)
-    main = roster.latest(V.roster(spark, d)).filter(F.col("load_seq") % 4 == 0)
+    main = roster.latest(base).filter(F.col("load_seq") % 4 == 0)
     out = C.by_secondary(names, sec, main).select("norm", "staff_id", "method", "confidence", "candidate_count")
     extra = C.by_extra(names.select(F.lit("").alias("nid"), "norm"), ledger["extra"]).select(
         "norm", "staff_id", "method", "confidence", "candidate_count")
@@ -303,8 +310,9 @@ v_extra AS (SELECT norm, {V.TKEY_SQL.format('norm')} AS tkey FROM v_roster WHERE
 
 def family(spark, d) -> DataFrame:
     """Relatives by surname, with the certain matches of the same run as evidence."""
-    m = C.mentions(V.mention(spark, d))
-    r = _roster(spark, d)
+    base = _base(spark, d)
+    m = C.mentions(V.mention(spark, d, base))
+    r = roster.build_roster(base)
     exact = C.by_exact(C.open_names(m), r)
     sure = C.family_evidence(m.join(exact, "norm"), r.latest)
     rest = m.filter("norm <> ''").withColumn("tkey", token_key("norm")).join(
@@ -342,39 +350,41 @@ v_graded AS (SELECT k.norm, k.pref, h.n, h.first, s.sure_id, p, CAST(pref = pos
 
 def translit(spark, d) -> DataFrame:
     """Spelling variants found in the roster."""
-    n, r = _names(spark, d), _roster(spark, d)
+    n, r = _both(spark, d)
     return C.by_translit(n.join(r.ids.select("tkey").distinct(), "tkey", "left_anti"), r).select(*_MATCH)
 
 
 def prefix(spark, d) -> DataFrame:
     """Truncated names."""
-    n, r = _names(spark, d), _roster(spark, d)
+    n, r = _both(spark, d)
     return C.by_prefix(n.join(r.ids.select("tkey").distinct(), "tkey", "left_anti"), r).select(*_MATCH)
 
 
 def fuzzy(spark, d) -> DataFrame:
     """Similar names."""
-    n, r = _names(spark, d), _roster(spark, d)
+    n, r = _both(spark, d)
     return C.by_fuzzy(n.join(r.ids.select("tkey").distinct(), "tkey", "left_anti"), r).select(*_MATCH)
 
 
 def cascade_methods(spark, d) -> DataFrame:
     """Lines per method and confidence after the whole cascade."""
-    m, r, ledger = _known(spark, d)
-    out = C.match_lines(m, _roster(spark, d), ledger)
+    m, _, ledger, base = _known(spark, d)
+    out = C.match_lines(m, roster.build_roster(base), ledger)
     return out.groupBy("method", "confidence", decide_match().alias("decision")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def person_search(spark, d) -> DataFrame:
     """The best five persons for every name of the manual file."""
-    q = V.mention(spark, d).select(F.col("person_raw").alias("query")).filter("query <> ''")
-    return roster.search(q, _roster(spark, d), 5)
+    base = _base(spark, d)
+    q = V.mention(spark, d, base).select(F.col("person_raw").alias("query")).filter("query <> ''")
+    return roster.search(q, roster.build_roster(base), 5)
 
 
 def unmatched_causes(spark, d) -> DataFrame:
     """M2: why names without an exact match have no person."""
-    m = V.mention(spark, d)
-    r = _roster(spark, d)
+    base = _base(spark, d)
+    m = V.mention(spark, d, base)
+    r = roster.build_roster(base)
     key = token_key(name_norm("person_raw"))
     lines = m.withColumn("tkey", key).join(r.ids.select("tkey").distinct().withColumn("hit", F.lit(True)), "tkey", "left").withColumns({
         "decision": F.when(F.col("hit"), "AUTO").otherwise("UNMATCHED"), "method": F.lit("none"),

@@ -142,9 +142,9 @@ v_roster AS (
   FROM documents)"""
 
 
-def mention(spark, sf_dir) -> DataFrame:
+def mention(spark, sf_dir, r: DataFrame = None) -> DataFrame:
     """Invoice names: roster names altered by the document's number, six ways."""
-    r = roster(spark, sf_dir)
+    r = roster(spark, sf_dir) if r is None else r
     w, n = F.split("full_name", " "), F.size(F.split("full_name", " "))
     k = F.pmod("load_seq", F.lit(6))
     last, before = F.element_at(w, -1), F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0)))

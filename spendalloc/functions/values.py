@@ -81,7 +81,10 @@ def parse_date(c) -> Column:
     # Serials below 60 precede the fictitious leap day of 1900.
     serial = F.when(number.between(1, 80000) & ~lone_year, F.date_add(
         F.lit("1899-12-30").cast("date"), (F.floor(number) + F.when(number < 60, 1).otherwise(0)).cast("int")))
+    # The two usual spellings are tried first; the rest is evaluated only when they fail.
+    usual = F.regexp_replace(x, full, "$4-$3-$1")
     return F.coalesce(
+        F.try_to_date(F.regexp_extract(usual, ymd, 0), "yyyy-M-d"),
         F.try_to_date(F.regexp_extract(iso, ymd, 0), "yyyy-M-d"),
         F.try_to_date(F.regexp_extract(swapped, ymd, 0), "yyyy-M-d"), serial)
 

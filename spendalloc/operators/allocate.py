@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.text import company_of, is_entity, site_key
 from ..functions.values import CENTS, cents
+from .asof import spread_null
 from .common import block_row_number, top_per_group
 
 PART = "decimal(28,10)"
@@ -50,86 +51,89 @@ def base_parts(lines: DataFrame) -> DataFrame:
     })
 
 
+def _share_plans(noted: DataFrame, keys: DataFrame) -> DataFrame:
+    """What each distinct share list means: its valid items, their sum and the warning.
+
+    noted has _skey, _shares. Labels are read and looked up here, once per
+    distinct list instead of once per line."""
+    e = noted.groupBy("_skey").agg(F.first("_shares").alias("_shares")).select(
+        "_skey", F.posexplode("_shares").alias("_pos", "_s"))
+    e = e.select("_skey", "_pos", F.trim("_s.label").alias("_label"), F.col("_s.num").alias("_num"), F.col("_s.den").alias("_den"))
+    e = e.withColumns({"_lkey": site_key("_label"), "_canon": company_of("_label"), "_entity": is_entity("_label")})
+    right = keys.select(F.col("key").alias("_lkey"), F.col("code").alias("_code"), F.col("name").alias("_cname"),
+                        F.col("company").alias("_ccomp"), F.lit(True).alias("_hit"))
+    e = e.join(right, "_lkey", "left")
+    project = F.coalesce("_hit", F.lit(False))
+    valid = F.coalesce((F.col("_num") > 0) & (project | F.col("_canon").isNotNull() | F.col("_entity")), F.lit(False))
+    item = F.struct(
+        "_pos", valid.alias("v"), project.alias("project"), F.col("_code").alias("code"), F.col("_cname").alias("name"),
+        F.when(project, F.col("_ccomp")).otherwise(F.coalesce("_canon", "_label")).alias("firm"),
+        F.concat("_label", F.lit(" "), "_num", F.lit("/"), "_den").alias("note"),
+        F.col("_num").alias("num"), F.col("_den").alias("den"), F.col("_label").alias("label"))
+    # A list has a handful of items.
+    p = e.groupBy("_skey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    good, bad = F.filter("items", lambda s: s["v"]), F.filter("items", lambda s: ~s["v"])
+    p = p.withColumns({"_good": good, "_bad": bad})
+    # Exact comparison of the sum of fractions with one, on a common denominator.
+    total = F.aggregate("_good", F.lit(0).cast("bigint"), lambda a, s: a + F.round(COMMON * s["num"] / s["den"]).cast("bigint"))
+    notes = F.array_join(F.transform("_good", lambda s: s["note"]), ", ")
+    over = (F.size("_good") > 0) & (total > COMMON)
+    warning = F.when(over, F.concat(F.lit("SHARE: shares exceed one, not applied: "), notes)).when(
+        F.size("_bad") > 0, F.concat(F.lit("SHARE: neither entity nor project: "),
+                                     F.array_join(F.transform("_bad", lambda s: s["label"]), ", ")))
+    return p.select(
+        "_skey", F.when(over, F.lit("over")).when(F.size("_good") == 0, "none").when(total < COMMON, "rest").otherwise("all").alias("_kind"),
+        "_good", F.concat(F.lit("SHARE ERROR: "), notes).alias("_error"),
+        F.concat(F.lit("(rest "), F.format_number(1 - total / COMMON, 2), F.lit(")")).alias("_rest"), warning.alias("_warning"))
+
+
+COMMON = 27720  # least common multiple of the denominators 1 to 12
+
+
 def explode_shares(lines: DataFrame, keys: DataFrame, inherited: bool = True) -> DataFrame:
     """A2-A4: one row per line and part, with `part` money and a share note.
 
     A project label moves centre and company, an entity label only the
     company, any other label is no share. Parts below one leave the rest with
-    the line's own company; parts above one are not applied. Only lines with
-    shares are exploded and regrouped; all others pass straight through."""
-    own = F.coalesce("shares", F.array().cast(lines.schema["shares"].dataType))
+    the line's own company; parts above one are not applied. Lines are not
+    regrouped: each joins the plan of its share list and is then unfolded."""
+    none = F.array().cast(lines.schema["shares"].dataType)
+    own = F.coalesce("shares", none)
     if inherited and "inherited_shares" in lines.columns:
-        own = F.when(F.size(own) > 0, own).otherwise(F.coalesce("inherited_shares", own))
-    df = base_parts(lines).withColumn("_shares", F.when(F.col("cost_center") != V.UNALLOCATED, own))
-    some = F.size(F.coalesce("_shares", F.array().cast(lines.schema["shares"].dataType))) > 0
-    cols = [c for c in df.columns if c != "_shares"]
-    plain = df.filter(~some).select(
-        *cols, F.col("amount").cast(PART).alias("part"), F.lit(None).cast("string").alias("share_note"),
-        F.lit(None).cast("string").alias("share_warning"))
-
-    e = df.filter(some).select(*cols, F.posexplode("_shares").alias("_pos", "_s"))
-    e = e.withColumns({"_label": F.trim("_s.label"), "_num": F.col("_s.num"), "_den": F.col("_s.den")})
-    # Labels repeat: each distinct one is read and looked up once.
-    labels = e.select("_label").distinct().withColumns({
-        "_lkey": site_key("_label"), "_canon": company_of("_label"), "_entity": is_entity("_label")})
-    right = keys.select(F.col("key").alias("_lkey"), F.col("code").alias("_code"), F.col("name").alias("_cname"),
-                        F.col("company").alias("_ccomp"), F.lit(True).alias("_hit"))
-    e = e.join(labels.join(right, "_lkey", "left").drop("_lkey"), "_label", "left")
-    canon, project = F.col("_canon"), F.coalesce("_hit", F.lit(False))
-    valid = (F.col("_num") > 0) & (project | canon.isNotNull() | F.col("_entity"))
-    e = e.withColumns({
-        "_valid": F.coalesce(valid, F.lit(False)),
-        "_note": F.concat("_label", F.lit(" "), "_num", F.lit("/"), "_den"),
-        "_part": (F.col("amount") * F.col("_num") / F.col("_den")).cast(PART),
-        "_to_center": F.when(project, F.col("_code")).otherwise(F.col("cost_center")),
-        "_to_name": F.when(project, F.col("_cname")).otherwise(F.col("cost_center_name")),
-        "_to_company": F.when(project, F.coalesce("_ccomp", "company")).otherwise(F.coalesce(canon, "_label")),
-        "_to_map": project | F.col("in_map")})
-    item = F.struct("_pos", F.col("_to_center").alias("c"), F.col("_to_name").alias("n"),
-                    F.col("_to_company").alias("f"), F.col("_to_map").alias("m"), F.col("_note").alias("t"),
-                    F.col("_part").alias("p"), F.col("_num").alias("num"), F.col("_den").alias("den"),
-                    F.col("_valid").alias("v"), F.col("_label").alias("l"))
-    rest = [c for c in cols if c not in LINE]
-    back = e.groupBy(*LINE).agg(F.first(F.struct(*rest)).alias("line"),
-                                F.array_sort(F.collect_list(item)).alias("items"))
-    back = back.select(*LINE, "line.*", "items").withColumns({
-        "_good": F.filter("items", lambda s: s["v"]), "_bad": F.filter("items", lambda s: ~s["v"])})
-    # Exact comparison of the sum of fractions with one, on a common denominator.
-    common = F.lit(27720)  # least common multiple of 1 to 12
-    total = F.aggregate("_good", F.lit(0).cast("bigint"), lambda a, s: a + (
-        F.round(common * s["num"] / s["den"])).cast("bigint"))
-    money = F.aggregate("_good", F.lit(0).cast(PART), lambda a, s: (a + s["p"]).cast(PART))
-    notes = F.array_join(F.transform("_good", lambda s: s["t"]), ", ")
-    unknown = F.when(F.size("_bad") > 0, F.concat(
-        F.lit("SHARE: neither entity nor project: "),
-        F.array_join(F.transform("_bad", lambda s: s["l"]), ", ")))
-    back = back.withColumns({"_total": total, "_money": money, "_notes": notes, "_unknown": unknown})
+        own = F.when(F.size(own) > 0, own).otherwise(F.coalesce("inherited_shares", none))
+    df = base_parts(lines)
+    cols = df.columns
+    df = df.withColumn("_shares", F.when(F.col("cost_center") != V.UNALLOCATED, own).otherwise(none))
+    text = F.array_join(F.transform("_shares", lambda s: F.concat(
+        F.coalesce(s["label"], F.lit("")), F.lit("\u0001"), F.coalesce(s["num"], F.lit(0)), F.lit("/"),
+        F.coalesce(s["den"], F.lit(0)))), "\u0002")
+    df = df.withColumn("_skey", F.when(F.size("_shares") > 0, text))
+    plans = _share_plans(df.filter("_skey is not null").select("_skey", "_shares"), keys)
+    # Lines without shares carry spread keys that match nothing.
+    j = df.withColumn("_jkey", spread_null("_skey", *LINE)).drop("_skey", "_shares").join(
+        plans.withColumnRenamed("_skey", "_jkey"), "_jkey", "left")
 
     def part(c, n, f, m, t, p):
-        return F.struct(c.alias("c"), n.alias("n"), f.alias("f"), m.alias("m"), t.alias("t"), p.cast(PART).alias("p"))
-
-    whole = lambda note: part(F.col("cost_center"), F.col("cost_center_name"), F.col("company"), F.col("in_map"),
-                              note, F.col("amount"))
-    split = F.transform("_good", lambda s: part(s["c"], s["n"], s["f"], s["m"], s["t"], s["p"]))
-    left = part(F.col("cost_center"), F.col("cost_center_name"), F.col("company"), F.col("in_map"),
-                F.concat(F.lit("(rest "), F.format_number(1 - F.col("_total") / common, 2), F.lit(")")),
-                F.col("amount") - F.col("_money"))
-    null_note = F.lit(None).cast("string")
+        return F.struct(c.alias("c"), n.alias("n"), f.alias("f"), m.alias("m"), t.cast("string").alias("t"), p.cast(PART).alias("p"))
+
+    home = (F.col("cost_center"), F.col("cost_center_name"), F.col("company"), F.col("in_map"))
+    money = lambda s: (F.col("amount") * s["num"] / s["den"]).cast(PART)
+    split = F.transform("_good", lambda s: part(
+        F.when(s["project"], s["code"]).otherwise(home[0]), F.when(s["project"], s["name"]).otherwise(home[1]),
+        F.coalesce(s["firm"], home[2]), s["project"] | home[3], s["note"], money(s)))
+    spent = F.aggregate("_good", F.lit(0).cast(PART), lambda a, s: (a + money(s)).cast(PART))
+    left = part(*home, F.col("_rest"), F.col("amount") - spent)
     parts = (
-        F.when(F.size("_good") == 0, F.array(whole(null_note)))
-        .when(F.col("_total") > common, F.array(whole(F.concat(F.lit("SHARE ERROR: "), F.col("_notes")))))
-        .when(F.col("_total") < common, F.concat(split, F.array(left)))
-        .otherwise(split)
+        F.when(F.col("_kind") == "over", F.array(part(*home, F.col("_error"), F.col("amount"))))
+        .when(F.col("_kind") == "rest", F.concat(split, F.array(left)))
+        .when(F.col("_kind") == "all", split)
+        .otherwise(F.array(part(*home, F.lit(None), F.col("amount"))))
     )
-    warning = F.when((F.size("_good") > 0) & (F.col("_total") > common), F.concat(
-        F.lit("SHARE: shares exceed one, not applied: "), F.col("_notes"))).otherwise(F.col("_unknown"))
-    shared = back.select(*cols, F.explode(parts).alias("_p"), warning.alias("share_warning"))
     keep = [c for c in cols if c not in ("cost_center", "cost_center_name", "company", "in_map")]
-    shared = shared.select(
-        *keep, F.col("_p.c").alias("cost_center"), F.col("_p.n").alias("cost_center_name"),
-        F.col("_p.f").alias("company"), F.col("_p.m").alias("in_map"), F.col("_p.p").alias("part"),
-        F.col("_p.t").alias("share_note"), "share_warning")
-    return plain.unionByName(shared.select(*plain.columns))
+    x = j.select(*keep, F.explode(parts).alias("_p"), F.col("_warning").alias("share_warning"))
+    return x.select(
+        *keep, F.col("_p.c").alias("cost_center"), F.col("_p.n").alias("cost_center_name"), F.col("_p.f").alias("company"),
+        F.col("_p.m").alias("in_map"), F.col("_p.p").alias("part"), F.col("_p.t").alias("share_note"), "share_warning")
 
 
 # --- A6-A8 -------------------------------------------------------------------
@@ -227,7 +231,6 @@ def settle_remainder(rows: DataFrame, targets: DataFrame) -> DataFrame:
     targets has feed, currency, target. Gaps above 0.50 are no rounding and
     stay open."""
     group = ["feed", "currency"]
-    at = F.struct(F.abs("amount").alias("a"))
     have = rows.groupBy(*group).agg(
         F.sum("amount").alias("have"),
         F.max_by(F.struct(*[c for c in KEY if c not in group]),

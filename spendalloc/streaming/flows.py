@@ -58,13 +58,13 @@ def read_updates(spark, out: str) -> DataFrame:
 
 
 def route_late(lines: DataFrame, out: str, checkpoint: str, time: str = "arrived", late_seconds: int = 600):
-    """Split each batch into lines on time and late lines, in two tables.
+    """Split each batch into lines on time and late lines (partition `is_late`).
 
     A line is late when it is older than the newest time of all earlier
     batches by more than the allowance. The newest times are kept as one row
     per batch, so a restarted query decides the same way."""
     spark = lines.sparkSession
-    schema = f"high timestamp, batch bigint"
+    schema = "high timestamp, batch bigint"
     spark.createDataFrame([(None, -1)], schema).coalesce(1).write.mode("overwrite").parquet(f"{out}/marks/b=start")
 
     def split(batch, batch_id):

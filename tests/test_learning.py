@@ -61,5 +61,5 @@ def test_late_lines(spark, tmp_path):
 
     send(0, [(1, t(10)), (2, t(9))])
     send(1, [(3, t(8)), (4, t(11))])
-    got = {r["id"]: r["is_late"] for r in spark.read.parquet(f"{out}/lines").collect()}
+    got = {r["id"]: r["is_late"] == "true" for r in spark.read.parquet(f"{out}/lines").collect()}
     assert got == {1: False, 2: False, 3: True, 4: False}

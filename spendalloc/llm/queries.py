@@ -2,7 +2,9 @@
 
 import public_tokenizers
 
+from . import license_scan as licenses
 from . import line_dedup as lines
+from . import quality
 from . import token_counts as counts
 from .common import read
 
@@ -11,6 +13,14 @@ def op1_token_counts(spark, sf_dir):
     return counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark, sf_dir):
+    return quality.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return lines.line_dedup(read(spark, sf_dir, "documents")).drop("text")
 
@@ -30,5 +40,5 @@ SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
 FROM k LEFT JOIN r ON key = gone GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op6_license_scan, op8_quality_rules, op10_line_dedup)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

@@ -1,7 +1,9 @@
 """One query per operator, over the whole of its table, and the SQL twins that DuckDB can run."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from . import language_mix
 from . import license_scan as licenses
 from . import line_dedup as lines
 from . import quality
@@ -13,6 +15,12 @@ def op1_token_counts(spark, sf_dir):
     return counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_language_mix(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = language_mix.language_mix(read(spark, sf_dir, "documents"), train=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op6_license_scan(spark, sf_dir):
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
@@ -40,5 +48,5 @@ SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
 FROM k LEFT JOIN r ON key = gone GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_license_scan, op8_quality_rules, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op6_license_scan, op8_quality_rules, op10_line_dedup)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

@@ -46,11 +46,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def cut(batches, column: str = "text", rows: int = TEXT_ROWS, size: int = TEXT_BYTES):
+def cut(batches, column: str | None = "text", rows: int = TEXT_ROWS, size: int = TEXT_BYTES):
     """Arrow batches cut so that each holds at most `rows` rows and about `size` bytes of text."""
     for b in batches:
         if not b.num_rows:
             continue
+        if column is None:
+            yield from (b.slice(i, rows) for i in range(0, b.num_rows, rows))
+            continue
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < b.num_rows:

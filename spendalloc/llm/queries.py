@@ -7,6 +7,7 @@ from . import language_mix
 from . import license_scan as licenses
 from . import line_dedup as lines
 from . import quality
+from . import set_join
 from . import token_counts as counts
 from .common import read
 
@@ -21,6 +22,35 @@ def op2_language_mix(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op5_set_join(spark, sf_dir):
+    return set_join.similar_components(read(spark, sf_dir, "documents"))
+
+
+OP5_SET_JOIN = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i+1], w[i+2], w[i+3]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+r AS (
+  SELECT doc_id AS x, doc_id AS y FROM w
+  UNION
+  SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM w LEFT JOIN n USING (doc_id)
+JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) m USING (doc_id)"""
+
+
 def op6_license_scan(spark, sf_dir):
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
@@ -48,5 +78,5 @@ SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
 FROM k LEFT JOIN r ON key = gone GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op6_license_scan, op8_quality_rules, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op5_set_join, op6_license_scan, op8_quality_rules, op10_line_dedup)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

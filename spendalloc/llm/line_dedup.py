@@ -83,6 +83,8 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_
     pairs = found.filter("doc_id IS NOT NULL").groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     repeats = pairs.groupBy("key").agg(F.count("one").alias("n"), F.min("doc_id").alias("first_id")).filter(
         F.col("n") >= min_docs).select("key", "first_id")
+    # Written, so that adaptive execution can split a key that very many documents have.
+    repeats = stash(repeats, "repeats")
     return found.join(repeats, "key").select(
         "doc_id", "key", "place", F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)).alias("is_first"))
 

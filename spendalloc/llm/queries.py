@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_mix
+from . import decontaminate, language_mix, packing
 from . import license_scan as licenses
 from . import line_dedup as lines
 from . import quality
@@ -59,6 +59,14 @@ def op8_quality_rules(spark, sf_dir):
     return quality.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.best_fit_packing(packing.word_lengths(read(spark, sf_dir, "documents")))
+
+
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return lines.line_dedup(read(spark, sf_dir, "documents")).drop("text")
 
@@ -78,5 +86,6 @@ SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
 FROM k LEFT JOIN r ON key = gone GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op5_set_join, op6_license_scan, op8_quality_rules, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op5_set_join, op6_license_scan, op7_best_fit_packing,
+                                  op8_quality_rules, op9_decontaminate, op10_line_dedup)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

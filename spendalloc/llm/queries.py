@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_mix, packing
+from . import decontaminate, id_files, language_mix, packing
 from . import license_scan as licenses
 from . import line_dedup as lines
 from . import quality
@@ -22,6 +22,10 @@ def op2_language_mix(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op4_id_files(spark, sf_dir):
+    return id_files.id_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_set_join(spark, sf_dir):
     return set_join.similar_components(read(spark, sf_dir, "documents"))
 
@@ -86,6 +90,6 @@ SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
 FROM k LEFT JOIN r ON key = gone GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op5_set_join, op6_license_scan, op7_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op4_id_files, op5_set_join, op6_license_scan, op7_best_fit_packing,
                                   op8_quality_rules, op9_decontaminate, op10_line_dedup)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

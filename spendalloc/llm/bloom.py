@@ -16,11 +16,11 @@ BITS_PER_KEY = 8
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Two bit places for each hash."""
+def _places(hashes: np.ndarray, bits: int, n: int = 2) -> list[np.ndarray]:
+    """One or two bit places for each hash."""
     shift = np.uint64(64 - (bits.bit_length() - 1))
     mixed = hashes ^ (hashes >> np.uint64(29))
-    return [((mixed * m) >> shift).astype(np.int64) for m in _MULT]
+    return [((mixed * m) >> shift).astype(np.int64) for m in _MULT[:n]]
 
 
 def _set(bits: np.ndarray, place: np.ndarray) -> None:
@@ -34,11 +34,11 @@ def _get(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def _fill(hashes_of, n_bits, columns):
+def _fill(hashes_of, n_bits, column, n_places):
     schema = pa.schema([("part", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
 
     def add(once, twice, pending):
-        for place in zip(*(_places(h, n_bits) for h in pending)):
+        for place in zip(*(_places(h, n_bits, n_places) for h in pending)):
             found, counts = np.unique(np.concatenate(place), return_counts=True)
             again = (counts > 1) | _get(once, found)
             _set(twice, found[again])
@@ -46,7 +46,7 @@ def _fill(hashes_of, n_bits, columns):
 
     def run(batches):
         once, twice, pending, size, seen = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8), [], 0, False
-        for b in cut(batches, columns):
+        for b in cut(batches, column):
             for h in hashes_of(b):
                 pending.append(h)
                 size += len(h)
@@ -83,9 +83,10 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     yield table(schema, part=[key[0].as_py()], twice=[zlib.compress(twice.tobytes(), 1)])
 
 
-def fill_twice(docs: DataFrame, hashes_of, n_keys, max_bits: int, text: str = "text"):
+def fill_twice(docs: DataFrame, hashes_of, n_keys, max_bits: int, text: str | None = "text", n_places: int = 2):
     """Broadcast of the twice-seen filter; `n_keys` is a column expression for the number of keys of a row.
 
+    `hashes_of` gives an array of hashes, without repeats, for each row of a batch.
     The filter has a power of two bits, at most `max_bits`, so what is sent
     to tasks has a fixed bound."""
     spark = docs.sparkSession
@@ -93,7 +94,7 @@ def fill_twice(docs: DataFrame, hashes_of, n_keys, max_bits: int, text: str = "t
     n_bits = 1 << 13
     while n_bits < BITS_PER_KEY * n and n_bits * 2 <= max_bits:
         n_bits *= 2
-    slices = docs.mapInArrow(_fill(hashes_of, n_bits, text), "part long, once binary, twice binary")
+    slices = docs.mapInArrow(_fill(hashes_of, n_bits, text, n_places), "part long, once binary, twice binary")
     merged = slices.groupBy("part").applyInArrow(_merge, "part long, twice binary")
     bits = np.zeros(n_bits // 8, np.uint8)
     step = min(SLICE_BITS, n_bits) // 8
@@ -102,9 +103,9 @@ def fill_twice(docs: DataFrame, hashes_of, n_keys, max_bits: int, text: str = "t
     return spark.sparkContext.broadcast(bits)
 
 
-def suspects(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def suspects(bits: np.ndarray, hashes: np.ndarray, n_places: int = 2) -> np.ndarray:
     """Which hashes may have been seen twice; one that was seen twice always is."""
     if not len(hashes):
         return np.zeros(0, bool)
-    a, b = _places(hashes, len(bits) * 8)
-    return _get(bits, a) & _get(bits, b)
+    hit = [_get(bits, p) for p in _places(hashes, len(bits) * 8, n_places)]
+    return hit[0] & hit[1] if n_places == 2 else hit[0]

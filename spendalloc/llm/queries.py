@@ -7,7 +7,7 @@ from . import decontaminate, id_files, language_mix, packing
 from . import license_scan as licenses
 from . import line_dedup as lines
 from . import quality
-from . import set_join
+from . import set_join, suffix_dedup
 from . import token_counts as counts
 from .common import read
 
@@ -22,6 +22,28 @@ def op2_language_mix(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
+OP3_SUFFIX_DEDUP = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+b AS (
+  SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS c, CASE WHEN i + 50 <= n THEN substr(x, 2 * i + 1, 100) END AS w
+  FROM (SELECT doc_id, x, n, unnest(range(n)) AS i FROM h)),
+m AS (SELECT w, min(doc_id) AS first FROM b WHERE w IS NOT NULL GROUP BY w),
+f AS (
+  SELECT doc_id, i, c, max(CASE WHEN first < doc_id THEN 1 ELSE 0 END) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM b LEFT JOIN m USING (w)),
+p AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f)
+SELECT doc_id, any_value(n) AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+       count(*) FILTER (gone = 1 AND before = 0) AS n_spans,
+       sha256(unhex(coalesce(string_agg(c, '' ORDER BY i) FILTER (gone = 0), ''))) AS kept_sha256
+FROM h LEFT JOIN p USING (doc_id) GROUP BY doc_id"""
+
+
 def op4_id_files(spark, sf_dir):
     return id_files.id_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -90,6 +112,6 @@ SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
 FROM k LEFT JOIN r ON key = gone GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op4_id_files, op5_set_join, op6_license_scan, op7_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op3_suffix_dedup, op4_id_files, op5_set_join, op6_license_scan, op7_best_fit_packing,
                                   op8_quality_rules, op9_decontaminate, op10_line_dedup)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

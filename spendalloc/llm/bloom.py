@@ -109,3 +109,40 @@ def suspects(bits: np.ndarray, hashes: np.ndarray, n_places: int = 2) -> np.ndar
         return np.zeros(0, bool)
     hit = [_get(bits, p) for p in _places(hashes, len(bits) * 8, n_places)]
     return hit[0] & hit[1] if n_places == 2 else hit[0]
+
+
+def _ids_twice(batch):
+    # Each id counts as seen twice, so that the filter holds all ids.
+    h = np.unique(batch.column("doc_id").to_numpy().view(np.uint64))
+    return [h, h]
+
+
+def fill_ids(ids: DataFrame, max_bits: int = 1 << 26):
+    """Broadcast filter of the non-null doc_ids of a table."""
+    return fill_twice(ids.select("doc_id").filter("doc_id IS NOT NULL"), _ids_twice, F.lit(1), max_bits, text=None)
+
+
+def ids_inside(bits: np.ndarray, column) -> np.ndarray:
+    """Which doc_ids of a batch may be in the filter; null ids are not."""
+    null = np.asarray(column.is_null())
+    ids = column.fill_null(0).to_numpy(zero_copy_only=False)
+    return suspects(bits, ids.astype(np.int64).view(np.uint64)) & ~null
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id is not among `gone`, exactly; rows with a null id stay.
+
+    Only rows that a filter of the ids suspects are shuffled."""
+    bits = fill_ids(gone)
+
+    def pick(want):
+        def run(batches):
+            for b in batches:
+                ids = b.column(id_col).cast(pa.int64())
+                yield b.take(pa.array(np.flatnonzero(ids_inside(bits.value, ids) == want)))
+        return run
+
+    names = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    some = docs.mapInArrow(pick(True), docs.schema)
+    return docs.mapInArrow(pick(False), docs.schema).unionByName(
+        some.join(names, F.col(id_col) == F.col("_gone"), "left_anti"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
@@ -70,5 +71,23 @@ def table(schema, **columns):
          for n, c in ((f.name, columns[f.name]) for f in schema)], schema=schema)
 
 
+def append_columns(df: DataFrame, of, fields: str, text_col: str = "text", **cuts) -> DataFrame:
+    """The rows of a table with further columns that `of` makes from the texts (a list, null as empty) of a batch.
+
+    All other columns pass as they are, whatever their names; names in
+    `fields` must be new."""
+    extra = StructType.fromDDL(fields)
+    if clash := {f.name for f in extra} & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are already there")
+    names = [f.name for f in extra]
+
+    def run(batches):
+        for b in cut(batches, text_col, **cuts):
+            made = of([t or "" for t in b.column(text_col).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, made)], [*b.schema.names, *names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *extra.fields]))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

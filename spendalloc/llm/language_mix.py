@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, table
+from .common import append_columns, cut, id_text, table
 
 BUCKETS = 1 << 14
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -117,34 +117,31 @@ def infer(texts: list[str], probs: np.ndarray, rounds: int, penalty: float) -> n
     return best
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
-                     ("mixture", pa.string())])
-
-
 def language_mix(docs: DataFrame, train: Column | None = None, train_docs: int = 5000, max_langs: int = 100,
                  rounds: int = 12, penalty: float = 3.0, id_col: str = "doc_id", text_col: str = "text",
-                 lang_col: str = "lang") -> DataFrame:
+                 lang_col: str = "lang", keep_columns: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, mixture ("en:0.93 fr:0.07") for every row.
 
     `train` is the condition for rows to learn from; `penalty` is what a further
-    language costs, in units of the logarithm of the number of trigrams."""
-    d = id_text(docs, id_col, text_col)
+    language costs, in units of the logarithm of the number of trigrams. With
+    `keep_columns` the rows of `docs` come back whole, with the three columns."""
     learn = docs if train is None else docs.filter(train)
     langs, probs = fit(learn.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                                     F.col(lang_col).cast("string").alias("lang")), train_docs, max_langs)
     # Documents whose trigram tables together stay small, however many languages there are.
     rows = max(1, min(200, 2000 // max(1, len(langs))))
 
-    def run(batches):
-        for b in cut(batches, rows=rows, size=1 << 20):
-            texts = b.column("text").to_pylist()
-            lettered = [i for i, t in enumerate(texts) if langs and has_letter(t)]
-            pred, score, mixture = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
-            if lettered:
-                for i, s in zip(lettered, infer([texts[i] for i in lettered], probs, rounds, penalty)):
-                    top = int(s.argmax())
-                    pred[i], score[i] = langs[top], min(1.0, float(s[top]))
-                    mixture[i] = " ".join(f"{langs[j]}:{s[j]:.3f}" for j in np.argsort(-s, kind="stable") if s[j] > 0)
-            yield table(_SCHEMA, doc_id=b.column("doc_id"), lang_pred=pred, score=score, mixture=mixture)
-
-    return d.mapInArrow(run, "doc_id long, lang_pred string, score double, mixture string")
+    def of(texts):
+        lettered = [i for i, t in enumerate(texts) if langs and has_letter(t)]
+        pred, score, mixture = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
+        if lettered:
+            for i, s in zip(lettered, infer([texts[i] for i in lettered], probs, rounds, penalty)):
+                top = int(s.argmax())
+                pred[i], score[i] = langs[top], min(1.0, float(s[top]))
+                mixture[i] = " ".join(f"{langs[j]}:{s[j]:.3f}" for j in np.argsort(-s, kind="stable") if s[j] > 0)
+        return pred, score, mixture
+
+    return append_columns(docs if keep_columns else id_text(docs, id_col, text_col), of,
+                          "lang_pred string, score double, mixture string",
+                          text_col if keep_columns else "text", rows=rows, size=1 << 20).select(
+        *(docs.columns if keep_columns else ["doc_id"]), "lang_pred", "score", "mixture")

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .bloom import fill_twice, suspects
 from .common import cut, id_text, stash, table
@@ -89,49 +90,72 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_
         "doc_id", "key", "place", F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)).alias("is_first"))
 
 
-def _rewrite(min_chars, keep_first):
+def _rewrite(text: str, gone: list | None, keep: list | None, min_chars: int, keep_first: bool):
+    """The text without its repeated lines, the number of lines, and of those dropped."""
+    lines = text.split("\n")
+    if not gone:
+        return text, len(lines), 0
+    gone, keep, kept = set(gone), set(keep or ()), []
+    for line, k in zip(lines, line_keys(text)):
+        h = xxhash.xxh3_128_digest(k)
+        if h not in gone or not _long_enough(k, min_chars):
+            kept.append(line)
+        elif keep_first and h in keep:
+            keep.discard(h)
+            kept.append(line)
+    return "\n".join(kept), len(lines), len(lines) - len(kept)
+
+
+def _rows(min_chars, keep_first):
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()),
                         ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
         for b in cut(batches):
-            texts, lines, dropped, shas = [], [], [], []
-            for t, gone, keep in zip(*(b.column(c).to_pylist() for c in ("text", "_gone", "_keep"))):
-                parts = t.split("\n")
-                if not gone:
-                    kept = parts
-                else:
-                    gone, keep, kept = set(gone), set(keep or ()), []
-                    for line, k in zip(parts, line_keys(t)):
-                        h = xxhash.xxh3_128_digest(k)
-                        if h not in gone or not _long_enough(k, min_chars):
-                            kept.append(line)
-                        elif keep_first and h in keep:
-                            keep.discard(h)
-                            kept.append(line)
-                text = "\n".join(kept)
-                texts.append(text)
-                lines.append(len(parts))
-                dropped.append(len(parts) - len(kept))
-                shas.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
-            yield table(schema, doc_id=b.column("doc_id"), text=texts, n_lines=lines, n_dropped=dropped,
-                        kept_sha256=shas)
+            rows = [_rewrite(*r, min_chars, keep_first) for r in zip(*(
+                b.column(c).to_pylist() for c in ("text", "_llm_gone", "_llm_keep")))]
+            texts = [r[0] for r in rows]
+            yield table(schema, doc_id=b.column("doc_id"), text=texts, n_lines=[r[1] for r in rows],
+                        n_dropped=[r[2] for r in rows],
+                        kept_sha256=[hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts])
+    return run
+
+
+def _replace(min_chars, keep_first, text_col):
+    def run(batches):
+        for b in cut(batches, text_col):
+            gone, keep = b.column("_llm_gone").to_pylist(), b.column("_llm_keep").to_pylist()
+            rows = [_rewrite(t or "", g, k, min_chars, keep_first)
+                    for t, g, k in zip(b.column(text_col).to_pylist(), gone, keep)]
+            # A text that lost nothing stays as it was, null included.
+            texts = [r[0] if r[2] else t for r, t in zip(rows, b.column(text_col).to_pylist())]
+            own = [n for n in b.schema.names if not n.startswith("_llm_")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if n == text_col else b.column(n) for n in own]
+                + [pa.array([r[2] for r in rows], pa.int64())], [*own, "_llm_dropped"])
     return run
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none",
-               max_bits: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               max_bits: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text",
+               keep_columns: bool = False) -> DataFrame:
     """doc_id, text without the lost lines, n_lines, n_dropped, kept_sha256 for every row.
 
     keep: "none" drops all lines of a repeated key, "first" leaves its first one.
-    Two rows with one id and the key would both keep it as first."""
+    Two rows with one id and the key would both keep it as first. With
+    `keep_columns` the rows of `docs` come back with the text replaced, and
+    _llm_dropped, the number of lines lost."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     d = id_text(docs, id_col, text_col)
     repeats = repeated_lines(d, min_docs, min_chars, max_bits)
-    gone = repeats.groupBy("doc_id").agg(F.collect_set("key").alias("_gone"),
-                                         F.collect_set(F.when(F.col("is_first"), F.col("key"))).alias("_keep"))
-    joined = d.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.select("doc_id", "text", "_gone", "_keep").mapInArrow(
-        _rewrite(min_chars, keep == "first"),
+    gone = repeats.groupBy(F.col("doc_id").alias("_llm_id")).agg(
+        F.collect_set("key").alias("_llm_gone"), F.collect_set(F.when(F.col("is_first"), F.col("key"))).alias("_llm_keep"))
+    if keep_columns:
+        joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_llm_id")), "left").drop("_llm_id")
+        return joined.mapInArrow(_replace(min_chars, keep == "first", text_col),
+                                 StructType([*docs.schema.fields, StructField("_llm_dropped", LongType())]))
+    joined = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left")
+    return joined.select("doc_id", "text", "_llm_gone", "_llm_keep").mapInArrow(
+        _rows(min_chars, keep == "first"),
         "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string")

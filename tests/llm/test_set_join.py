@@ -33,7 +33,7 @@ def brute(data, width=4, percent=85):
 
 
 def test_odd_rows(spark):
-    got = set_join.similar_components(frame(spark))
+    got = set_join.similar_components(frame(spark), 4, 85)
     assert result(got, "doc_id", "n_shingles", "component_id") == brute([(r[0], r[1]) for r in rows()])
     assert set_join.similar_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -57,7 +57,7 @@ def test_chains_and_groups_of_near_copies(spark):
     data = [(i * 3, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     for percent in (85, 70):
-        got = set_join.similar_components(docs, percent=percent, max_bits=1 << 13, max_common=50)
+        got = set_join.similar_components(docs, 4, percent, max_bits=1 << 13, max_common=50)
         assert result(got, "doc_id", "n_shingles", "component_id") == brute(data, percent=percent)
 
 

@@ -90,8 +90,10 @@ def token_key(norm) -> Column:
 
 def letter_sig(norm) -> Column:
     """Sorted letters of a canonical name; ignores order and spacing."""
-    letters = F.split(F.replace(col(norm), F.lit(" "), F.lit("")), "")
-    return F.array_join(F.sort_array(letters), "")
+    n = col(norm)
+    # Each letter as often as it occurs: nothing has to be sorted.
+    times = lambda a: F.length(n) - F.length(F.replace(n, F.lit(a), F.lit("")))
+    return F.concat(*[F.repeat(F.lit(a), times(a)) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
 
 
 def clean_person(c) -> Column:

@@ -7,7 +7,7 @@ from . import vocab as V
 from .text import col, squeeze
 
 MONEY = "decimal(18,6)"
-CENTS = "decimal(18,2)"
+CENTS = "decimal(28,2)"
 THOUSANDS_ASSUMED = "thousands_assumed"
 
 

@@ -44,9 +44,6 @@ FUZZY_MIN = 88.0
 FUZZY_LEAD = 6.0
 FUZZY_CAP = 0.89
 FUZZY_PAIR_MIN = 80.0
-FUZZY_KEEP = 12
-FUZZY_TOKEN_FREQ = 600
-SUPERSET_TOKEN_FREQ = 2000
 PREFIX_MIN = 4
 FAMILY_RARE = 8
 FAMILY_CLEAR = 0.50
@@ -162,22 +159,12 @@ SITE_AIRPORTS = (
 
 # --- names -------------------------------------------------------------------
 
-# (spelling, replacement, only at the start); order decides which variants survive the limit.
-TRANSLIT_RULES = (
-    ("KH", "H", False), ("GE", "GO", True), ("IY", "YI", False), ("YI", "IY", False),
-    ("YR", "IR", False), ("Y", "I", True), ("EI", "EY", False), ("TS", "C", False),
-    ("SH", "S", False), ("CH", "C", False), ("ZH", "J", False), ("YU", "U", False),
-    ("YA", "A", False), ("W", "V", False), ("Q", "K", False), ("X", "KS", False),
-    ("PH", "F", False), ("OU", "U", False), ("EE", "I", False), ("II", "I", False),
-    ("IY", "I", False), ("YI", "I", False),
-    ("GO", "GE", True), ("I", "Y", True), ("H", "KH", False), ("EY", "EI", False),
-    ("IR", "YR", False), ("C", "TS", False), ("S", "SH", False), ("C", "CH", False),
-    ("J", "ZH", False), ("U", "YU", False), ("A", "YA", False), ("V", "W", False),
-    ("K", "Q", False), ("KS", "X", False), ("F", "PH", False), ("U", "OU", False),
-    ("I", "EE", False), ("I", "II", False), ("I", "IY", False), ("I", "YI", False),
+# Transliterations that stand for one sound, as pattern and plain spelling, applied in order.
+SPELLING_CLASS = (
+    ("X", "KS"), ("KH", "H"), ("TS", "C"), ("CH", "C"), ("SH", "S"), ("ZH", "J"), ("YU", "U"), ("YA", "A"),
+    ("W", "V"), ("Q", "K"), ("PH", "F"), ("OU", "U"), (r"\bGE", "GO"), ("EY", "EI"), ("EE|II|IY|YI", "I"),
+    ("YR", "IR"), (r"\bY", "I"), (r"(?<=[A-Z])([A-Z])\1\b", "$1"),
 )
-TRANSLIT_PER_TOKEN = 12
-TRANSLIT_TOTAL = 64
 
 # Feminine surname endings and their masculine form; longer endings first.
 FEMININE_ENDINGS = (
@@ -291,7 +278,6 @@ FIELD_EXCLUSIONS = {
                "temel ucret", "asgari ucret"),
     "doc_date": ("dogum tarihi", "dogum"),
 }
-ID_SAMPLE = 300
 ID_SHARE = 0.6
 REPEAT_SHARE = 0.8
 REPEAT_MIN = 10

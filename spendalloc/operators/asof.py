@@ -3,10 +3,15 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _edge(text: str) -> Column:
     return F.lit(text).cast("date")
 
 
+def line_salt(df: DataFrame) -> list[str]:
+    """Columns that tell lines apart, as far as the table has them."""
+    names = [c for c in ("source_seq", "row_no") if c in df.columns]
+    return names or [c for c in ("doc_date", "amount") if c in df.columns]
 
 
 def spread_null(key, *salt) -> Column:
@@ -15,7 +20,7 @@ def spread_null(key, *salt) -> Column:
     Rows without a key would otherwise all hash to one partition of an outer
     join."""
     key = F.col(key) if isinstance(key, str) else key
-    bucket = F.pmod(F.xxhash64(*salt), F.lit(4096)).cast("string")
+    bucket = F.xxhash64(*salt).cast("string") if salt else F.lit("")
     return F.coalesce(key, F.concat(F.lit("\u0001"), bucket))
 
 
@@ -47,7 +52,7 @@ def as_of(lines: DataFrame, snap: DataFrame, prefix: str = "") -> DataFrame:
     right = iv.select(F.col("staff_id").alias("_id"), "valid_from", "valid_to",
                       *[F.col(c).alias(f"_{c}") for c in names])
     left = lines.withColumns({
-        "_key": spread_null("staff_id", "doc_date", "amount"),
+        "_key": spread_null("staff_id", *line_salt(lines)),
         "_on": F.coalesce("doc_date", _edge("9999-12-30"))})
     j = left.join(right, (F.col("_key") == F.col("_id")) & (F.col("_on") >= F.col("valid_from"))
                   & (F.col("_on") < F.col("valid_to")), "left")
@@ -68,7 +73,7 @@ def as_of(lines: DataFrame, snap: DataFrame, prefix: str = "") -> DataFrame:
 def fallback_secondary(lines: DataFrame, secondary: DataFrame, cols=("site", "company", "company2")) -> DataFrame:
     """The undated secondary row when the id is not in the snapshots."""
     right = secondary.select(F.col("staff_id").alias("_sid"), *[F.col(c).alias(f"sec_{c}") for c in cols])
-    j = lines.withColumn("_key", spread_null("staff_id", "doc_date", "amount")).join(
+    j = lines.withColumn("_key", spread_null("staff_id", *line_salt(lines))).join(
         right, F.col("_key") == F.col("_sid"), "left")
     use = F.col("relation").isNull() & F.col("_sid").isNotNull()
     return j.withColumns({

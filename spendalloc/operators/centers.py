@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import is_entity, name_norm, site_key
-from .asof import as_of, fallback_secondary, spread_null
+from .asof import as_of, fallback_secondary, line_salt, spread_null
 
 
 def map_keys(cmap: DataFrame, synonyms=None) -> DataFrame:
@@ -37,7 +37,7 @@ def resolve_center(df: DataFrame, keys: DataFrame, site: str = "site", prefix: s
     right = keys.select(
         F.col("key").alias("_mk"), F.col("code").alias("_code"), F.col("name").alias("_name"),
         F.col("company").alias("_company"), F.col("active").alias("_active"), F.col("map_site").alias("_map_site"))
-    key = spread_null(F.nullif(site_key(site), F.lit("")), *[c for c in ("doc_date", "amount") if c in df.columns] or [site])
+    key = spread_null(F.nullif(site_key(site), F.lit("")), *line_salt(df))
     j = df.withColumn("_k", key).join(right, F.col("_k") == F.col("_mk"), "left")
     text = F.nullif(F.trim(F.col(site)), F.lit(""))
     hit = F.col("_mk").isNotNull()

@@ -1,5 +1,6 @@
 """Shared building blocks: lineage cuts and ranks that survive hot groups."""
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ BLOCK_ROWS = 1 << 16
 def work_dir(spark) -> str:
     """Shared folder for intermediate tables, as named by the cluster.
 
-    Only when the session names none (tests on one machine) a local one is used."""
+    Only when the session names none and the master is this machine (tests), a
+    local one is used; on a cluster, executors would each write to their own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spendalloc-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -154,9 +154,15 @@ def suggest_map(lines: DataFrame, keys: DataFrame, staff: DataFrame) -> DataFram
     w = Window.partitionBy("base").orderBy(F.desc("amount"), "site")
     out = out.join(taken, "base", "left").withColumn(
         "_n", F.row_number().over(w) + F.coalesce("taken", F.lit(0)))
+    out = out.withColumn("code", F.when(F.col("_n") == 1, F.col("base")).otherwise(
+        F.concat(F.left("base", F.lit(21)), F.lit("-"), F.col("_n"))))
+    # A shortened code may meet another site's or the map's: then the site's own mark tells them apart.
+    met = taken.select(F.col("base").alias("code"), F.lit(1).alias("in_map"))
+    out = out.join(met, "code", "left").withColumn(
+        "_same", F.row_number().over(Window.partitionBy("code").orderBy("_n", "site")) + F.coalesce("in_map", F.lit(0)))
+    mark = F.concat(F.left("code", F.lit(21)), F.lit("-"), F.hex(F.xxhash64("site")))
     return out.select(
-        "site", F.when(F.col("_n") == 1, F.col("base")).otherwise(
-            F.concat(F.left("base", F.lit(21)), F.lit("-"), F.col("_n"))).alias("code"),
+        "site", F.when(F.col("_same") == 1, F.col("code")).otherwise(mark).alias("code"),
         F.coalesce("company", F.lit("")).alias("company"), F.coalesce("n_staff", F.lit(0)).alias("n_staff"),
         "n_lines", "amount", "currency").orderBy(F.desc("amount"), "site")
 

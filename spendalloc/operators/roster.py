@@ -138,8 +138,7 @@ def search(queries: DataFrame, roster: Roster, k: int = 10) -> DataFrame:
     prefix = F.left(F.col("token"), F.lit(V.PREFIX_MIN))
     similar = (
         words.withColumn("p4", prefix)
-        .join(roster.by_token.filter(F.col("freq") <= V.FUZZY_TOKEN_FREQ)
-              .select(prefix.alias("p4"), F.col("norm").alias("rnorm")), "p4")
+        .join(roster.by_token.select(prefix.alias("p4"), F.col("norm").alias("rnorm")), "p4")
         .select("query", "norm", "rnorm").distinct()
         .withColumn("score", token_set_ratio("norm", "rnorm")).filter("score >= 70")
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.text import category_hint, column_key, fold, name_norm
 from ..functions.values import cell_text, id_like, national_id, parse_amount, parse_date, staff_id
-from ..operators.common import top_per_group
 
 SHEET = ["source_seq", "file", "sheet"]
 ROW = [*SHEET, "row"]
@@ -112,11 +111,10 @@ def resolve_columns(headers: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def validate_id_columns(cells: DataFrame, resolved: DataFrame) -> DataFrame:
-    """H4: drop id columns of which under 60 % of the first 300 filled values look like ids."""
+    """H4: drop id columns of which under 60 % of the filled values look like ids."""
     ids = resolved.filter("field = 'staff_id'").select(*SHEET, "header_row", "col")
     v = cells.join(ids, [*SHEET, "col"]).filter(F.col("row") > F.col("header_row"))
-    sample = top_per_group(v.withColumn("ok", id_like("value")), [*SHEET, "col"], ["row"], V.ID_SAMPLE)
-    bad = sample.groupBy(*SHEET, "col").agg(
+    bad = v.withColumn("ok", id_like("value")).groupBy(*SHEET, "col").agg(
         (F.avg(F.col("ok").cast("double")) < V.ID_SHARE).alias("bad")).filter("bad")
     return resolved.join(bad.withColumn("field", F.lit("staff_id")).drop("bad"), [*SHEET, "col", "field"], "left_anti")
 

@@ -5,7 +5,7 @@ import os
 import time
 
 HEADLINE = ("asof_site", "center_resolve", "share_allocate", "control_close", "dedup_exact", "exact_match",
-            "company_rollup", "coverage", "parse_values", "name_keys", "content_dedup")
+            "company_rollup", "coverage", "parse_values", "name_keys", "content_dedup", "subset_join", "family")
 
 
 def main():

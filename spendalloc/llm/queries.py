@@ -49,7 +49,7 @@ def op4_id_files(spark, sf_dir):
 
 
 def op5_set_join(spark, sf_dir):
-    return set_join.similar_components(read(spark, sf_dir, "documents"))
+    return set_join.similar_components(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 OP5_SET_JOIN = """

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import fill_twice, suspects
+from .bloom import fill_ids, fill_twice, ids_inside, suspects
 from .common import cut, id_text, stash, table
 from .components import components
 
@@ -117,13 +117,16 @@ def _postings(twice):
     return run
 
 
-def _full_sets(width):
-    schema = pa.schema([("sid", pa.int64()), ("items", pa.binary())])
+def _full_sets(width, ids):
+    """Sets of the documents that the filter of ids lets through, and of those without an id."""
+    schema = pa.schema([("sid", pa.int64()), ("owner", pa.int64()), ("items", pa.binary())])
 
     def run(batches):
         for b in cut(batches):
-            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
-            yield table(schema, sid=[xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
+            wanted = ids_inside(ids.value, b.column("doc_id")) | np.asarray(b.column("doc_id").is_null())
+            at = pa.array(np.flatnonzero(wanted))
+            sets = [shingle_set(t, width) for t in b.column("text").take(at).to_pylist()]
+            yield table(schema, owner=b.column("doc_id").take(at), sid=[xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
                         items=[s.tobytes() for s in sets])
     return run
 
@@ -146,17 +149,65 @@ def _overlaps(batches):
             yield table(schema, **dict(zip(("pivot", "sid", "shared"), map(list, zip(*out)))))
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, per_task: int = 256) -> DataFrame:
-    """(pivot, sid, shared): exact overlaps. A pivot with many members is repeated, and they are spread."""
+def _compare(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, per_task: int = 256) -> DataFrame:
+    """(pivot, sid, shared): exact overlaps. A pivot with many members is repeated, and they are spread.
+
+    `nodes` names the document whose set stands for a node."""
     k = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("long").alias("k"))
     k = stash(k, "fanout")
-    members = pairs.join(k, "pivot").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("k"))).select(
-        "pivot", "salt", "sid").join(sets, "sid").select("pivot", "salt", "sid", F.lit(True).alias("is_member"), "items")
-    heads = k.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).join(
-        sets, F.col("pivot") == F.col("sid")).select(
-        "pivot", "salt", "sid", F.lit(False).alias("is_member"), "items")
-    return members.unionByName(heads).repartition("pivot", "salt").sortWithinPartitions(
-        "pivot", "salt", "is_member").mapInArrow(_overlaps, "pivot long, sid long, shared long")
+    rows = pairs.join(k, "pivot").select(
+        "pivot", F.pmod(F.xxhash64("sid"), F.col("k")).alias("salt"), "sid", F.lit(True).alias("is_member")).unionByName(
+        k.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"),
+                 F.col("pivot").alias("sid"), F.lit(False).alias("is_member")))
+    named = rows.join(nodes.select("sid", F.col("doc_id").alias("_doc")), "sid")
+    s = sets.withColumnRenamed("sid", "_sid")
+    full = named.join(s, (F.col("sid") == F.col("_sid")) & F.col("_doc").eqNullSafe(F.col("owner"))).select(
+        "pivot", "salt", "sid", "is_member", "items")
+    return full.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "is_member").mapInArrow(
+        _overlaps, "pivot long, sid long, shared long")
+
+
+def _block_overlaps(batches):
+    """Rows sorted by (block, is_pair): the sets of a block come before its pairs."""
+    schema = pa.schema([("pivot", pa.int64()), ("sid", pa.int64()), ("shared", pa.int64())])
+    block, sets = None, {}
+    for b in batches:
+        out = []
+        for now, pair, sid, other, items in zip(*(b.column(c).to_pylist() for c in (
+                "block", "is_pair", "sid", "other", "items"))):
+            if now != block:
+                block, sets = now, {}
+            if not pair:
+                sets[sid] = np.frombuffer(items, np.uint64)
+            else:
+                x, y = sets[sid], sets[other]
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                out.append((other, sid, int((x[at] == y).sum())))
+        if out:
+            yield table(schema, **dict(zip(("pivot", "sid", "shared"), map(list, zip(*out)))))
+
+
+def _compare_blocks(pairs: DataFrame, families: DataFrame, nodes: DataFrame, sets: DataFrame, size: int = 256) -> DataFrame:
+    """(pivot, sid, shared) for many pairs among few sets.
+
+    Sets with one pivot are a family, cut into parts of about `size`; a set is
+    sent once for each part that it has a pair in, not once for each pair."""
+    k = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias("k"))
+    part = stash(families.join(k, "family").select(
+        "sid", F.xxhash64("family", F.pmod(F.xxhash64("sid"), F.col("k"))).alias("part")), "parts")
+    named = stash(pairs.join(part.withColumnRenamed("part", "p1"), "sid").join(
+        part.select(F.col("sid").alias("pivot"), F.col("part").alias("p2")), "pivot").select(
+        F.xxhash64(F.least("p1", "p2"), F.greatest("p1", "p2")).alias("block"), "sid", "pivot"), "named")
+    needed = named.select("block", "sid").unionByName(named.select("block", F.col("pivot").alias("sid"))).distinct()
+    s = sets.withColumnRenamed("sid", "_sid")
+    full = needed.join(nodes.select("sid", F.col("doc_id").alias("_doc")), "sid").join(
+        s, (F.col("sid") == F.col("_sid")) & F.col("_doc").eqNullSafe(F.col("owner"))).select(
+        "block", F.lit(False).alias("is_pair"), "sid", F.lit(None).cast("long").alias("other"), "items")
+    rows = full.unionByName(named.select("block", F.lit(True).alias("is_pair"), "sid", F.col("pivot").alias("other"),
+                                         F.lit(None).cast("binary").alias("items")))
+    return rows.repartition("block").sortWithinPartitions("block", "is_pair").mapInArrow(
+        _block_overlaps, "pivot long, sid long, shared long")
 
 
 def _may_link(pa_, na, pb, nb, percent):
@@ -166,7 +217,7 @@ def _may_link(pa_, na, pb, nb, percent):
         (100 + percent) * F.least(na - pa_, nb - pb) >= need)
 
 
-def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, max_bits: int = 1 << 28,
+def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, max_bits: int = 1 << 28,
                        max_common: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; two sets link at 100 * overlap >= percent * union.
 
@@ -199,14 +250,14 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, max_b
                   .select("sid", "n", F.col("v.pivot").alias("pivot"), F.col("v.pn").alias("pn")), "pivots")
 
     def sets_of(pairs):
+        """Whole sets of the nodes in pairs, made anew from their texts; only they are shuffled, not texts."""
         wanted = pairs.select("sid").unionByName(pairs.select(F.col("pivot").alias("sid"))).distinct()
-        ids = nodes.join(wanted, "sid", "left_semi").select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
-        texts = d.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        sets = texts.select("text").mapInArrow(_full_sets(width), "sid long, items binary")
-        return stash(sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+        wanted = stash(nodes.select("sid", "doc_id").join(wanted, "sid", "left_semi"), "wanted")
+        sets = d.mapInArrow(_full_sets(width, fill_ids(wanted)), "sid long, owner long, items binary")
+        return wanted, stash(sets, "sets")
 
     linked = lambda s, na, nb: (100 + percent) * s >= percent * (na + nb)
-    known = stash(_compare(first.select("pivot", "sid"), sets_of(first)).join(first, ["pivot", "sid"]), "answers")
+    known = stash(_compare(first.select("pivot", "sid"), *sets_of(first)).join(first, ["pivot", "sid"]), "answers")
     edges = known.filter(linked(F.col("shared"), F.col("n"), F.col("pn"))).select(
         F.col("sid").alias("a"), F.col("pivot").alias("b"))
     roots = stash(components(edges), "roots")
@@ -253,7 +304,10 @@ def similar_components(docs: DataFrame, width: int = 4, percent: int = 85, max_b
         F.max_by("verdict", F.when(F.col("verdict") == "compare", 0).otherwise(1)).alias("verdict"))
     two = stash(two.filter("verdict <> 'no'"), "pairs")
     open_pairs = two.filter("verdict = 'compare'")
-    more = _compare(open_pairs.select("pivot", "sid"), sets_of(open_pairs)).join(open_pairs, ["pivot", "sid"]).filter(
+    among, whole = sets_of(open_pairs)
+    families = among.select("sid").join(first.select("sid", "pivot"), "sid", "left").select(
+        "sid", F.coalesce("pivot", "sid").alias("family"))
+    more = _compare_blocks(open_pairs.select("pivot", "sid"), families, among, whole).join(open_pairs, ["pivot", "sid"]).filter(
         linked(F.col("shared"), F.col("n"), F.col("pn")))
     late = more.select(F.col("sid").alias("a"), F.col("pivot").alias("b")).unionByName(
         two.filter("verdict = 'yes'").select(F.col("sid").alias("a"), F.col("pivot").alias("b")))

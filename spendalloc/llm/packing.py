@@ -6,7 +6,8 @@ group is packed in decreasing length: a piece goes to the open bin that it
 leaves the least room in; if none has room, a bin is opened whose size costs
 least per item of content, given what the remaining pieces could still fill it
 with. In the end every bin shrinks to the shortest permitted length that holds
-its contents. Nothing is cut off or dropped.
+its contents. Nothing is cut off or dropped. Lengths are tokens of a named tokenizer
+(`token_lengths`) or words between white space (`word_lengths`).
 
 Null and empty texts are pieces of length 0. Ties go by (doc_id, piece), null
 ids last. Rows that repeat an id are pieces of their own. An empty table gives
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_text, stash, table
+from .encoders import encoder, load_file
 
 CAPACITIES = (1024, 2048, 4096)
 
@@ -91,10 +93,29 @@ def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return d.mapInArrow(_word_counts, "doc_id long, size long, mark long")
 
 
+def _token_counts(kind, content, version):
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("mark", pa.int64())])
+
+    def run(batches):
+        enc = encoder(kind, content.value, version)
+        for b in cut(batches):
+            yield table(schema, doc_id=b.column("doc_id"), mark=b.column("mark"),
+                        size=[enc.count(t) for t in b.column("text").to_pylist()])
+    return run
+
+
+def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size (tokens of the whole text, without special tokens), mark, as in `word_lengths`."""
+    kind, content, version = load_file(tokenizer_path)
+    d = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    return d.mapInArrow(_token_counts(kind, docs.sparkSession.sparkContext.broadcast(content), version),
+                        "doc_id long, size long, mark long")
+
+
 def best_fit_packing(sizes: DataFrame, capacities=CAPACITIES, cost=bin_cost, group_rows: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset, bin_capacity, bin_used for every piece.
 
-    `sizes` has doc_id, size and mark, as `word_lengths` gives them."""
+    `sizes` has doc_id, size and mark, as `token_lengths` and `word_lengths` give them."""
     longest = max(capacities)
     pieces = sizes.select("doc_id", "mark", F.coalesce("size", F.lit(0)).cast("long").alias("size")).withColumn(
         "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / longest) - 1, F.lit(0))

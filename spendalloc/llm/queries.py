@@ -86,7 +86,8 @@ def op8_quality_rules(spark, sf_dir):
 
 
 def op7_best_fit_packing(spark, sf_dir):
-    return packing.best_fit_packing(packing.word_lengths(read(spark, sf_dir, "documents")))
+    return packing.best_fit_packing(packing.token_lengths(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op9_decontaminate(spark, sf_dir):

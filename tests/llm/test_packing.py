@@ -63,3 +63,24 @@ def test_whole_table(spark):
         check(got, want, (64, 256))
         assert len([r for r in got if r["piece"] == 0]) == len(rows())
     assert packing.best_fit_packing(packing.word_lengths(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_query_packs_tokens_of_texts_with_and_without_white_space(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from spendalloc.llm.queries import QUERIES
+
+    texts = ["日本語の文章" * 900, "q7Zx+/" * 2000, "ordinary words stand here, unlike " * 20, None, "", "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert max(want.values()) > max(packing.CAPACITIES)
+    got = QUERIES["op7_best_fit_packing"](spark, str(tmp_path)).collect()
+    check(got, want, packing.CAPACITIES)
+    for i in want:
+        at = 0
+        for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"]):
+            assert r["start"] == at
+            at += r["length"]

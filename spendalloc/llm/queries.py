@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, id_files, language_mix, packing
+from . import bpe, centroids, decontaminate, filter_audit, id_files, language_mix, packing
 from . import license_scan as licenses
 from . import line_dedup as lines
 from . import quality
@@ -113,6 +113,99 @@ SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
 FROM k LEFT JOIN r ON key = gone GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_mix, op3_suffix_dedup, op4_id_files, op5_set_join, op6_license_scan, op7_best_fit_packing,
-                                  op8_quality_rules, op9_decontaminate, op10_line_dedup)}
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP11_FILTER_AUDIT = """
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+f AS (
+  SELECT part, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+         doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic,
+         MAP {'A': len(w) < 200, 'B': 100 * list_unique(w) < 50 * len(w),
+              'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'), 'E': min(doc_id) OVER (PARTITION BY t) < doc_id} AS fails
+  FROM w),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x)
+  JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+      FROM f GROUP BY part, fails),
+x AS (
+  SELECT part, filter_order, step, n, good, toxic, fails[filter_order[step]] AS now,
+         len(list_filter(string_split(filter_order[1:step - 1], ''), lambda y: y <> '' AND fails[y])) > 0 AS before,
+         len(list_filter(map_values(fails), lambda y: y)) AS every
+  FROM g, s),
+r AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter,
+         coalesce(sum(n) FILTER (NOT now AND NOT before), 0) AS kept,
+         coalesce(sum(n) FILTER (now AND NOT before), 0) AS removed,
+         coalesce(sum(n) FILTER (now AND before), 0) AS redundant,
+         coalesce(sum(n) FILTER (now AND every = 1), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (now AND NOT before), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (now AND NOT before), 0) AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r"""
+
+
+def op12_centroid_clusters(spark, sf_dir):
+    found = centroids.centroid_clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        centroids.centroid_digest("centroid").alias("centroid_sha256"))
+
+
+def _op12_sql(rounds: int = 10) -> str:
+    """The rounds one after the other: distances to all centroids (d), nearest ones (a), means (c)."""
+    assign = """
+d{r} AS MATERIALIZED (
+  SELECT vec_id, c, CAST(sum((v.x - m.x) * (v.x - m.x)) AS BIGINT) AS d
+  FROM v JOIN c{r} m USING (i) GROUP BY vec_id, c),
+a{r} AS MATERIALIZED (
+  SELECT vec_id, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+    means = """
+s{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{r} USING (vec_id) GROUP BY c, i),
+c{n} AS MATERIALIZED (
+  SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM c{r} LEFT JOIN s{r} USING (c, i))"""
+    steps = ",".join(assign.format(r=r) + "," + means.format(r=r, n=r + 1) for r in range(rounds))
+    return f"""
+WITH k AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (
+  SELECT vec_id, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM k)),
+h AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM k QUALIFY c < 8),
+c0 AS MATERIALIZED (SELECT c, i, x FROM h JOIN v USING (vec_id)),{steps},{assign.format(r=rounds)},
+m AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       centroid_sha256
+FROM a{rounds} JOIN m USING (c)"""
+
+
+OP12_CENTROID_CLUSTERS = _op12_sql()
+
+
+def op13_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = bpe.bpe_decode(bpe.bpe_encode(read(spark, sf_dir, "documents"), path), path)
+    return whole.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_language_mix, op3_suffix_dedup, op4_id_files, op5_set_join, op6_license_scan,
+    op7_best_fit_packing, op8_quality_rules, op9_decontaminate, op10_line_dedup, op11_filter_audit,
+    op12_centroid_clusters, op13_bpe)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

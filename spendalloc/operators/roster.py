@@ -9,6 +9,7 @@ from ..functions import vocab as V
 from ..functions.similarity import token_set_ratio
 from ..functions.text import name_norm, token_key, tokens
 from .common import cut_lineage, top_per_group
+from .similar import similar_pairs
 
 
 def latest(snap: DataFrame) -> DataFrame:
@@ -120,7 +121,8 @@ def search(queries: DataFrame, roster: Roster, k: int = 10) -> DataFrame:
     """Free search of persons, the best k per query.
 
     An id answers alone. Else exact names come first, then names sharing a
-    word (shortest first), then similar names."""
+    word (shortest first), then similar names: all at 82 or more, and those at
+    70 or more that share a word start of four letters."""
     norm = name_norm("query")
     q = queries.select("query").distinct().withColumns({
         "norm": norm, "tkey": token_key(norm), "qtoks": tokens(norm)})
@@ -133,17 +135,25 @@ def search(queries: DataFrame, roster: Roster, k: int = 10) -> DataFrame:
     exact = tier(open_q.join(roster.ids.select("tkey", "staff_id"), "tkey"), 2, F.lit(0))
     words = open_q.withColumn("token", F.explode("qtoks"))
     holders = roster.ids.select(F.col("norm").alias("rnorm"), "staff_id")
-    sharing = words.join(roster.by_token.select("token", F.col("norm").alias("rnorm")), "token")
-    sharing = tier(sharing.select("query", "rnorm").distinct().join(holders, "rnorm"), 3, F.length("rnorm"))
+    # The best k of a word are the best k for every query with it: only they are joined.
+    of_word = top_per_group(roster.by_token.select("token", F.col("norm").alias("rnorm")).join(holders, "rnorm").select(
+        "token", "staff_id", F.length("rnorm").alias("n")), ["token"], ["n", "staff_id"], k)
+    sharing = tier(words.join(of_word, "token"), 3, F.col("n"))
+    sure = cut_lineage(by_id.unionByName(exact).unionByName(sharing).groupBy("query", "staff_id").agg(
+        F.min(F.struct("tier", "rank_by")).alias("b")))
+    # Similar names come last, so only queries that still lack persons look for them.
+    full = sure.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    short = cut_lineage(words.join(full, "query", "left_anti").join(by_id.select("query"), "query", "left_anti"))
     prefix = F.left(F.col("token"), F.lit(V.PREFIX_MIN))
     similar = (
-        words.withColumn("p4", prefix)
+        short.withColumn("p4", prefix)
         .join(roster.by_token.select(prefix.alias("p4"), F.col("norm").alias("rnorm")), "p4")
-        .select("query", "norm", "rnorm").distinct()
-        .withColumn("score", token_set_ratio("norm", "rnorm")).filter("score >= 70")
+        .select("norm", "rnorm").unionByName(similar_pairs(
+            short.select("norm"), roster.names.select(F.col("norm").alias("rnorm")), V.FUZZY_MIN - V.FUZZY_LEAD))
+        .distinct().withColumn("score", token_set_ratio("norm", "rnorm")).filter("score >= 70")
     )
-    similar = tier(similar.join(holders, "rnorm"), 4, -F.col("score"))
-    hits = by_id.unionByName(exact).unionByName(sharing).unionByName(similar)
+    similar = tier(similar.join(short.select("query", "norm").distinct(), "norm").join(holders, "rnorm"), 4, -F.col("score"))
+    hits = sure.select("query", "staff_id", "b.*").unionByName(similar.select("query", "staff_id", "tier", "rank_by"))
     hits = hits.groupBy("query", "staff_id").agg(F.min(F.struct("tier", "rank_by")).alias("b"))
     hits = hits.select("query", "staff_id", "b.*")
     return top_per_group(hits, ["query"], ["tier", "rank_by", "staff_id"], k, "position")

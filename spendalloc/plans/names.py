@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vocab import FEMININE_ENDINGS
 from ..functions.text import clean_person, fold, letter_sig, masculine, name_norm, token_key, tokens
 from ..operators import cascade as C
 from ..operators import ledgers, measure, roster
@@ -54,8 +55,7 @@ def surname_forms(spark, d) -> DataFrame:
     return w.withColumn("base", masculine("word")).filter("base is not null")
 
 
-_ENDS = (("OVSKAYA", "OVSKIY"), ("EVSKAYA", "EVSKIY"), ("SKAYA", "SKIY"), ("TSKAYA", "TSKIY"), ("CKAYA", "CKIY"),
-         ("OVA", "OV"), ("EVA", "EV"), ("YOVA", "YOV"), ("INA", "IN"), ("YNA", "YN"), ("AYA", "IY"))
+_ENDS = FEMININE_ENDINGS
 SURNAME_FORMS = f"""
 WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split({V.norm_sql('text')}, ' ')) AS word FROM documents)
            WHERE word <> '' GROUP BY 1)
@@ -103,7 +103,7 @@ v_clash AS (SELECT {V.norm_sql('c_name')} AS norm, count(DISTINCT o_custkey) AS
 
 def secondary_profile(spark, d) -> DataFrame:
     """Persons per company, the ten largest."""
-    return roster.secondary_profile(V.roster(spark, d).withColumn("company2", F.col("site")))
+    return roster.secondary_profile(V.load(spark, d, "documents").select(F.col("source").alias("company2")))
 
 
 SECONDARY_PROFILE = """
@@ -159,17 +159,21 @@ _BIGGER = f"""
 v_more AS (SELECT norm, toks, tkey FROM v_names UNION
            SELECT norm || ' SRC', list_sort(list_distinct(string_split(norm || ' SRC', ' '))), {V.TKEY_SQL.format("norm || ' SRC'")}
            FROM v_roster WHERE norm <> ''),
-v_sub0 AS (SELECT m.norm, r.norm AS rnorm, list_contains(m.toks, r.surname) AS sn FROM v_more m JOIN v_rn r
-           ON len(m.toks) >= 2 AND len(r.toks) > len(m.toks) AND list_has_all(r.toks, m.toks)),
+v_rt AS (SELECT norm AS rnorm, toks AS rtoks, surname, unnest(toks) AS token FROM v_rn),
+v_mt AS (SELECT norm, toks, unnest(toks) AS token FROM v_more),
+v_mr AS (SELECT norm, toks, arg_min(token, (freq, token)) AS token FROM v_mt JOIN v_freq USING (token)
+         GROUP BY norm, toks HAVING count(*) = len(toks) AND len(toks) >= 2),
+v_rr AS (SELECT rnorm, rtoks, arg_min(token, (freq, token)) AS token FROM v_rt JOIN v_freq USING (token) GROUP BY rnorm, rtoks),
+v_lex AS (SELECT norm, list(token) AS known FROM v_mt JOIN v_freq USING (token) GROUP BY norm),
+v_sub0 AS (SELECT norm, rnorm, list_contains(toks, surname) AS sn FROM v_mr JOIN v_rt USING (token)
+           WHERE len(rtoks) > len(toks) AND list_has_all(rtoks, toks)),
 v_sub AS (SELECT s.norm, i.staff_id, i.site, i.seq, 0 AS other, 'subset' AS method,
                  CASE WHEN any_sn THEN 0.90 ELSE 0.72 END AS confidence
           FROM v_sub0 s JOIN (SELECT norm, bool_or(sn) AS any_sn FROM v_sub0 GROUP BY 1) b USING (norm)
           JOIN v_ids i ON i.norm = s.rnorm WHERE NOT any_sn OR sn),
-v_sup0 AS (SELECT m.norm, r.norm AS rnorm,
-                  len(list_filter(list_intersect(m.toks, lex), lambda t: NOT list_contains(r.toks, t))) > 0 AS named
-           FROM v_more m CROSS JOIN (SELECT list(token) AS lex FROM v_freq) JOIN v_rn r ON len(m.toks) >= 3 AND len(r.toks) >= 2 AND len(r.toks) < len(m.toks)
-             AND list_has_all(m.toks, r.toks)
-           ),
+v_sup0 AS (SELECT norm, rnorm, len(list_filter(known, lambda t: NOT list_contains(rtoks, t))) > 0 AS named
+           FROM v_mt JOIN v_rr USING (token) JOIN v_lex USING (norm)
+           WHERE len(toks) >= 3 AND len(rtoks) >= 2 AND len(rtoks) < len(toks) AND list_has_all(toks, rtoks)),
 v_sup AS (SELECT s.norm, i.staff_id, i.site, i.seq, 0 AS other, 'subset' AS method, 0.72 AS confidence
           FROM v_sup0 s JOIN v_ids i ON i.norm = s.rnorm),
 v_supset AS ({_settle('SELECT * FROM v_sup')}),
@@ -211,19 +215,24 @@ v_open AS (SELECT norm, array_to_string(list_sort(list_distinct(flatten(list(coa
 
 # --- J1-J4, J6, J12, P12 -----------------------------------------------------
 
+def _nid(number):
+    """An eleven-digit national id from a number."""
+    return F.concat(F.lit("1"), F.lpad((number % 10_000_000_000).cast("string"), 10, "0"))
+
+
 def _known(spark, d):
-    """Mentions with ids and ledgers derived from the documents' numbers."""
+    """Mentions with ids and ledgers derived from the names' numbers."""
     base = _base(spark, d)
     m = V.mention(spark, d, base)
     k = F.col("row_no")
     m = m.withColumns({
         "staff_id_raw": F.when(k % 7 == 0, F.concat(k, F.lit(".0"))).when(k % 7 == 1, F.concat(F.lit("X"), k)),
-        "national_id_raw": F.when(k % 5 == 0, F.concat(F.lit("1"), F.lpad(k.cast("string"), 10, "0")))})
+        "national_id_raw": F.when(k % 5 == 0, _nid(k))})
     r = base.withColumn("norm", name_norm("full_name")).filter("norm <> ''")
     s = F.col("load_seq")
     ledger = {
         "bridge": r.filter(s % 10 == 0).select(
-            F.concat(F.lit("1"), F.lpad("staff_id", 10, "0")).alias("national_id"), "staff_id", "load_seq"),
+            _nid(s).alias("national_id"), "staff_id", "load_seq"),
         "alias": r.groupBy("norm").agg(F.max_by("staff_id", "load_seq").alias("staff_id"), F.max("load_seq").alias("load_seq"))
                   .filter(F.col("load_seq") % 11 == 2).withColumnRenamed("norm", "name_norm"),
         "external": r.filter(s % 13 == 3).select(F.col("norm").alias("name_norm"), "full_name", "load_seq"),
@@ -250,10 +259,10 @@ def known_identities(spark, d) -> DataFrame:
 
 _KNOWN = f"""
 v_m AS (SELECT DISTINCT CASE doc_id % 7 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN 'X' || doc_id ELSE '' END AS sid,
-               CASE WHEN doc_id % 5 = 0 THEN '1' || lpad(CAST(doc_id AS VARCHAR), 10, '0') ELSE '' END AS nid, mnorm AS norm,
+               CASE WHEN doc_id % 5 = 0 THEN '1' || lpad(CAST(doc_id % 10000000000 AS VARCHAR), 10, '0') ELSE '' END AS nid, mnorm AS norm,
                CASE WHEN category = 'Bilet' THEN 'first' ELSE 'last' END AS pref FROM v_mention),
 v_r AS (SELECT *, string_split(norm, ' ') AS rt FROM v_roster),
-v_bridge AS (SELECT '1' || lpad(staff_id, 10, '0') AS national_id, staff_id FROM v_roster WHERE norm <> '' AND doc_id % 10 = 0),
+v_bridge AS (SELECT '1' || lpad(CAST(doc_id % 10000000000 AS VARCHAR), 10, '0') AS national_id, staff_id FROM v_roster WHERE norm <> '' AND doc_id % 10 = 0),
 v_alias0 AS (SELECT norm, arg_max(staff_id, doc_id) AS aid, max(doc_id) AS seq FROM v_roster WHERE norm <> '' GROUP BY 1),
 v_alias AS (SELECT *, {V.TKEY_SQL.format('norm')} AS tkey FROM v_alias0 WHERE seq % 11 = 2),
 v_aliast AS (SELECT tkey, arg_min(aid, seq) AS tid FROM v_alias GROUP BY 1),
@@ -400,14 +409,14 @@ def _health(spark, d) -> DataFrame:
     k = F.col("row_no")
     return m.withColumns({
         "source_type": F.when(k % 3 == 0, "health").when(k % 3 == 1, "mediation").otherwise("travel_ledger"),
-        "national_id_raw": F.when(k % 4 != 0, F.concat(F.lit("1"), F.lpad((k / 2).cast("bigint").cast("string"), 10, "0"))),
+        "national_id_raw": F.when(k % 4 != 0, _nid(F.floor(k / 2))),
         "staff_id_raw": F.when(k % 9 == 0, k.cast("string"))})
 
 
 _HEALTH = f"""
 v_health AS (SELECT doc_id, mnorm AS norm, {V.TKEY_SQL.format('mnorm')} AS tkey, birth_date, site,
   CASE doc_id % 3 WHEN 0 THEN 'health' WHEN 1 THEN 'mediation' ELSE 'travel_ledger' END AS source_type,
-  CASE WHEN doc_id % 4 <> 0 THEN '1' || lpad(CAST(doc_id // 2 AS VARCHAR), 10, '0') ELSE '' END AS nid,
+  CASE WHEN doc_id % 4 <> 0 THEN '1' || lpad(CAST(doc_id // 2 % 10000000000 AS VARCHAR), 10, '0') ELSE '' END AS nid,
   CASE WHEN doc_id % 9 = 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS sid FROM v_mention)"""
 
 

@@ -119,31 +119,43 @@ TKEY_SQL = "array_to_string(list_sort(list_distinct(string_split({0}, ' '))), '
 SIG_SQL = "array_to_string(list_sort(string_split(replace({0}, ' ', ''), '')), '')"
 
 
+#: Names of one document are numbered from its id times this on.
+NAMES = 1_000_000
+
+
 def roster(spark, sf_dir) -> DataFrame:
-    """Name roster: a document opens with the name of its person, three words."""
+    """Name roster: the words of a whole document, three by three, are the names of its persons, each once."""
     d = load(spark, sf_dir, "documents")
-    words = F.split(name_norm("text"), " ")
+    threes = F.split(F.regexp_replace(name_norm("text"), "([A-Z]+ [A-Z]+ [A-Z]+) ", "$1\n"), "\n")
+    d = d.select("doc_id", "source", "lang", "n_chars", F.posexplode(F.array_distinct(threes)).alias("i", "full_name"))
+    number = F.col("doc_id") * NAMES + F.col("i")
     return d.select(
-        F.col("doc_id").cast("string").alias("staff_id"), F.array_join(F.slice(words, 1, 3), " ").alias("full_name"),
+        number.cast("string").alias("staff_id"), "full_name",
         F.col("source").alias("site"), F.lit("2026-07-01").cast("date").alias("period"),
         F.lit("Aktif").alias("category"), F.col("lang").alias("company2"), F.col("lang").alias("company"),
         F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("citizenship"),
-        F.date_add(F.lit("1970-01-01").cast("date"), F.pmod("n_chars", F.lit(9000)).cast("int")).alias("birth_date"),
+        F.date_add(F.lit("1970-01-01").cast("date"),
+                   F.pmod(F.col("n_chars") + 37 * F.col("i"), F.lit(9000)).cast("int")).alias("birth_date"),
         F.lit(None).cast("date").alias("hire_date"), F.lit(None).cast("date").alias("exit_date"),
-        F.lit(None).cast("string").alias("subcontract"), F.col("doc_id").alias("load_seq"),
-        F.col("n_chars"))
+        F.lit(None).cast("string").alias("subcontract"), number.alias("load_seq"), "n_chars")
 
 
 ROSTER = f"""
+v_threes AS (
+  SELECT doc_id AS doc, source, lang, n_chars, i, array_to_string(w[3 * i + 1:3 * i + 3], ' ') AS norm
+  FROM (SELECT *, unnest(range((len(w) + 2) // 3)) AS i
+        FROM (SELECT doc_id, source, lang, n_chars, string_split({norm_sql('text')}, ' ') AS w FROM documents))),
+v_each AS (
+  SELECT doc, source, lang, n_chars, norm, row_number() OVER (PARTITION BY doc ORDER BY min(i)) - 1 AS n
+  FROM v_threes GROUP BY doc, source, lang, n_chars, norm),
 v_roster AS (
-  SELECT doc_id, CAST(doc_id AS VARCHAR) AS staff_id, source AS site, lang,
-         DATE '1970-01-01' + CAST(n_chars % 9000 AS INTEGER) AS birth_date,
-         array_to_string(string_split({norm_sql('text')}, ' ')[1:3], ' ') AS norm
-  FROM documents)"""
+  SELECT doc * {NAMES} + n AS doc_id, CAST(doc * {NAMES} + n AS VARCHAR) AS staff_id, source AS site, lang,
+         DATE '1970-01-01' + CAST((n_chars + 37 * n) % 9000 AS INTEGER) AS birth_date, norm
+  FROM v_each)"""
 
 
 def mention(spark, sf_dir, r: DataFrame = None) -> DataFrame:
-    """Invoice names: roster names altered by the document's number, six ways."""
+    """Invoice names: roster names altered by their number, six ways."""
     r = roster(spark, sf_dir) if r is None else r
     w, n = F.split("full_name", " "), F.size(F.split("full_name", " "))
     k = F.pmod("load_seq", F.lit(6))

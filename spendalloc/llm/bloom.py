@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, share, table
 
 SLICE_BITS = 1 << 20
 #: Bits for a key, while the bound allows it.
@@ -100,7 +100,7 @@ def fill_twice(docs: DataFrame, hashes_of, n_keys, max_bits: int, text: str | No
     step = min(SLICE_BITS, n_bits) // 8
     for r in merged.toLocalIterator():
         bits[r["part"] * step:(r["part"] + 1) * step] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-    return spark.sparkContext.broadcast(bits)
+    return share(spark, bits)
 
 
 def suspects(bits: np.ndarray, hashes: np.ndarray, n_places: int = 2) -> np.ndarray:

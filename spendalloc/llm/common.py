@@ -51,6 +51,21 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+_SHARED: list = []
+
+
+def share(spark: SparkSession, value):
+    """A broadcast that `forget` takes off the executors later."""
+    _SHARED.append(spark.sparkContext.broadcast(value))
+    return _SHARED[-1]
+
+
+def forget() -> None:
+    """Take earlier broadcasts off the executors; one that is needed again is sent again."""
+    while _SHARED:
+        _SHARED.pop().unpersist()
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, under fixed names, whatever other columns there are; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),

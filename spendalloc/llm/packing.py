@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, stash, table
+from .common import cut, id_text, share, stash, table
 from .encoders import encoder, load_file
 
 CAPACITIES = (1024, 2048, 4096)
@@ -108,7 +108,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """doc_id, size (tokens of the whole text, without special tokens), mark, as in `word_lengths`."""
     kind, content, version = load_file(tokenizer_path)
     d = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    return d.mapInArrow(_token_counts(kind, docs.sparkSession.sparkContext.broadcast(content), version),
+    return d.mapInArrow(_token_counts(kind, share(docs.sparkSession, content), version),
                         "doc_id long, size long, mark long")
 
 

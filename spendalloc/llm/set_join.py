@@ -1,16 +1,20 @@
 """Set similarity join over word shingles that uses relations between sets.
 
 Documents become sets of hashed shingles; equal sets are one node. A global
-order of shingles (estimated frequency, then hash) gives each set a prefix in
-which two similar sets must share a shingle. Only shingles that a twice-seen
+order of shingles (those that a Bloom filter over all documents has seen once,
+then by estimated frequency, then by hash) gives each set a prefix in which two
+similar sets must share a shingle; what only one document has moves the shared
+ones back, so that sizes and places rule out most copies that differ too much. Only shingles that a twice-seen
 Bloom filter suspects are in two prefixes become postings.
 
 1. Each set is compared with one pivot, the one it shares most postings with.
    The exact overlaps are the pivot's answers.
-2. Components so far leave only pairs of different components. Index lists are
-   cut into blocks by component, size and position; whole block pairs are
-   skipped by their bounds, so that lists of one component cost nothing.
-3. A remaining pair with a common pivot is settled from the two overlaps with
+2. Components are all that is asked for, so pairs inside one need no comparison.
+   In a few turns, sets of lists that hold several components are compared with
+   some sets of other components, which joins most groups of near copies.
+3. Index lists that still hold several components are cut into blocks by
+   component, size and position; whole block pairs are skipped by their bounds.
+4. A remaining pair with a common pivot is settled from the two overlaps with
    the pivot where their bounds allow (a set's answers from a similar set's
    answers); only what is left is compared set against set.
 
@@ -23,16 +27,17 @@ empty result; extra columns are ignored."""
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import fill_ids, fill_twice, ids_inside, suspects
-from .common import cut, id_text, stash, table
+from .common import cut, id_text, share, stash, table
 from .components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _K = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 64
+_MEET = 8
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -73,7 +78,11 @@ def _frequent(width, least):
     return run
 
 
-def _sketch(width, percent, common):
+def _shingles(width):
+    return lambda batch: [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+
+
+def _sketch(width, percent, common, repeated):
     schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()),
                         ("prefix", pa.list_(pa.int64()))])
 
@@ -89,6 +98,8 @@ def _sketch(width, percent, common):
                 at = np.searchsorted(known, s)
                 at[at == len(known)] = 0
                 rank = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(n)
+                # What no other document has comes first: it costs a place of the prefix and has no postings.
+                rank[~suspects(repeated.value, s)] = -1
                 order = np.lexsort((s, rank))
                 prefixes.append(s[order][:n - (percent * n + 99) // 100 + 1 if n else 0].view(np.int64))
             yield table(schema, doc_id=b.column("doc_id"), sid=sids, n=sizes, prefix=prefixes)
@@ -217,27 +228,58 @@ def _may_link(pa_, na, pb, nb, percent):
         (100 + percent) * F.least(na - pa_, nb - pb) >= need)
 
 
+def _mixed_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """Postings of the lists that hold sets of several components, with the component."""
+    placed = postings.join(roots, F.col("sid") == F.col("node"), "left").select(
+        "h", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"))
+    mixed = stash(placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+                  .select("h"), "mixed")
+    return stash(placed.join(mixed, "h"), "placed")
+
+
+def _other_components(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(sid, n, pivot, pn): for each set the `_MEET` sets of other components that it shares most lists with.
+
+    Each list offers `_MEET` of its sets, others in each turn; ranks are limited
+    before the shuffle, so that a list of any length sends few rows."""
+    by_hash = Window.partitionBy("h").orderBy(F.xxhash64("sid", F.lit(turn)), "sid")
+    heads = stash(placed.withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= _MEET).select(
+        "h", F.col("sid").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("pp"),
+        F.col("comp").alias("pcomp")), "heads")
+    votes = placed.join(heads, "h").filter((F.col("comp") != F.col("pcomp")) & _may_link(
+        F.col("pos"), F.col("n"), F.col("pp"), F.col("pn"), percent)).groupBy("sid", "n", "pivot", "pn").agg(
+        F.count(F.lit(1)).alias("votes"))
+    best = Window.partitionBy("sid").orderBy(F.desc("votes"), "pivot")
+    return votes.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= _MEET).select("sid", "n", "pivot", "pn")
+
+
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, max_bits: int = 1 << 28,
-                       max_common: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                       max_common: int = 1 << 17, rounds: int = 2, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; two sets link at 100 * overlap >= percent * union.
 
-    `max_common` bounds the table of frequent shingles, which decides only the
-    order of shingles and so the work, never the result."""
+    `max_common` bounds the table of frequent shingles and `rounds` the turns in
+    which components grow before all pairs that are left are compared; both
+    decide only the work, never the result."""
     spark = docs.sparkSession
     d = id_text(docs, id_col, text_col)
     common = d.mapInArrow(_frequent(width, 3), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(
         F.desc("n"), "h").limit(max_common).toPandas()
     h = common["h"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(h)
-    shared = spark.sparkContext.broadcast((h[by], common["n"].to_numpy(np.int64)[by]))
-    sketch = stash(d.mapInArrow(_sketch(width, percent, shared), "doc_id long, sid long, n long, prefix array<long>"),
-                   "sketch")
+    shared = share(spark, (h[by], common["n"].to_numpy(np.int64)[by]))
+    repeated = fill_twice(d, _shingles(width), F.ceil(F.octet_length("text") / 6), max_bits)
+    sketch = stash(d.mapInArrow(_sketch(width, percent, shared, repeated),
+                                "doc_id long, sid long, n long, prefix array<long>"), "sketch")
+    shared.unpersist()
+    repeated.unpersist()
     # Equal sets are one node; reduced before the shuffle, so that copies do not meet.
     nodes = stash(sketch.filter("n > 0").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
     twice = fill_twice(nodes, _prefix_hashes, F.size("prefix"), max_bits, text=None)
     postings = stash(nodes.select("sid", "n", "prefix").mapInArrow(
         _postings(twice), "h long, sid long, n long, pos long"), "postings")
+    twice.unpersist()
 
     # 1. One pivot for each set: the least set of a list, taken where most lists agree.
     lists = stash(postings.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("sid", "n", "pos")).alias("p"))
@@ -253,21 +295,28 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, max_b
         """Whole sets of the nodes in pairs, made anew from their texts; only they are shuffled, not texts."""
         wanted = pairs.select("sid").unionByName(pairs.select(F.col("pivot").alias("sid"))).distinct()
         wanted = stash(nodes.select("sid", "doc_id").join(wanted, "sid", "left_semi"), "wanted")
-        sets = d.mapInArrow(_full_sets(width, fill_ids(wanted)), "sid long, owner long, items binary")
-        return wanted, stash(sets, "sets")
+        ids = fill_ids(wanted)
+        sets = stash(d.mapInArrow(_full_sets(width, ids), "sid long, owner long, items binary"), "sets")
+        ids.unpersist()
+        return wanted, sets
 
     linked = lambda s, na, nb: (100 + percent) * s >= percent * (na + nb)
     known = stash(_compare(first.select("pivot", "sid"), *sets_of(first)).join(first, ["pivot", "sid"]), "answers")
     edges = known.filter(linked(F.col("shared"), F.col("n"), F.col("pn"))).select(
         F.col("sid").alias("a"), F.col("pivot").alias("b"))
     roots = stash(components(edges), "roots")
-
-    # 2. Pairs of different components, block against block.
-    placed = postings.join(roots, F.col("sid") == F.col("node"), "left").select(
-        "h", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"))
-    mixed = stash(placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-                  .select("h"), "mixed")
-    placed = stash(placed.join(mixed, "h"), "placed")
+    placed = _mixed_lists(postings, roots)
+    # 2. Sets of lists that still hold several components meet some sets of other components.
+    for turn in range(rounds):
+        wider = stash(_other_components(placed, turn, percent), "wider")
+        more = stash(_compare(wider.select("pivot", "sid"), *sets_of(wider)).join(wider, ["pivot", "sid"]), "answers")
+        edges = edges.unionByName(more.filter(linked(F.col("shared"), F.col("n"), F.col("pn"))).select(
+            F.col("sid").alias("a"), F.col("pivot").alias("b")))
+        roots = stash(components(edges), "roots")
+        # Lists of one component are settled; only the others go on.
+        placed = _mixed_lists(placed.drop("comp"), roots)
+
+    # 3. Pairs of different components, block against block.
     sizes = stash(placed.groupBy("h", "comp").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("long").alias("k")), "blocks")
     blocks = placed.join(sizes, ["h", "comp"]).groupBy(
         "h", "comp", F.floor(F.log("n") * 8).alias("size"), F.floor(F.col("pos") / 8).alias("deep"),
@@ -286,7 +335,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, max_b
         F.col("x.sid").alias("pivot"), F.col("x.n").alias("pn"), F.col("y.sid").alias("sid"), F.col("y.n").alias("n")
     ).distinct()
 
-    # 3. What the overlaps with a common pivot settle, and the rest.
+    # 4. What the overlaps with a common pivot settle, and the rest.
     answer = known.select(F.col("sid").alias("_s"), F.col("pivot").alias("_p"), F.col("shared").alias("_i"),
                           F.col("pn").alias("_n")).unionByName(
         known.groupBy("pivot").agg(F.first("pn").alias("_n")).select(

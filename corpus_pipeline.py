@@ -1,33 +1,42 @@
 """From raw documents to packed sequences: five stages, each written before the next reads it.
 
-Rows are documents; rows that repeat an id are one document for the stages that
+Each stage is read after it was written, so it takes the broadcasts of the stages
+before off the executors. Rows are documents; rows that repeat an id are one document for the stages that
 drop by id. Null ids are never dropped for a copy or a leak."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendalloc.llm.bloom import without_ids
-from spendalloc.llm.common import read, stash
+from spendalloc.llm.common import forget, read, stash
 from spendalloc.llm.decontaminate import decontaminate
 from spendalloc.llm.language_mix import language_mix
 from spendalloc.llm.line_dedup import line_dedup
-from spendalloc.llm.packing import best_fit_packing, word_lengths
+from spendalloc.llm.packing import best_fit_packing, token_lengths
 from spendalloc.llm.set_join import similar_components
 
 #: The least share of a document that its main language must have.
 MIN_SHARE = 0.5
 #: Lines found in so many documents stay in the first of them only.
 MIN_LINE_DOCS = 10
+#: The file whose tokens sequences are packed in.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of which no language has half, go."""
-    found = language_mix(docs, keep_columns=True)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE)).select(*docs.columns)
+    forget()
+    # Columns that are named like the operator's own step aside meanwhile.
+    aside = {c: f"_kept_{c}" for c in docs.columns if c in ("lang_pred", "score", "mixture")}
+    found = language_mix(docs.withColumnsRenamed(aside), keep_columns=True)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go but for their first document; a document of nothing but such lines goes with them."""
+    forget()
     cut = line_dedup(docs, MIN_LINE_DOCS, keep="first", keep_columns=True)
     left = cut.filter((F.col("_llm_dropped") == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.when(F.col("_llm_dropped") == 0, F.col("n_chars")).otherwise(
@@ -36,19 +45,22 @@ def repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with similarity 0.8 or more, the one with the smallest id stays."""
+    forget()
     groups = similar_components(docs, width=5, percent=80)
     return without_ids(docs, groups.filter("component_id < doc_id").select("doc_id")).select(*docs.columns)
 
 
 def benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which a benchmark item leaks go."""
+    forget()
     leaks = stash(decontaminate(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return without_ids(docs, leaks).select(*docs.columns)
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
-    return best_fit_packing(word_lengths(docs))
+    forget()
+    return best_fit_packing(token_lengths(docs, TOKENIZER))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", repeated_lines), ("near_duplicates", near_duplicates),

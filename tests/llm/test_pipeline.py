@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -94,10 +95,24 @@ def test_each_stage_keeps_clean_documents_and_acts_on_the_others(spark, tables):
     assert ids["near_duplicates"] == {i for i in sets if root[i] == i}
     assert ids["near_duplicates"] == ids["line_dedup"] - of("near")
     assert ids["decontaminate"] == ids["near_duplicates"] - of("leak")
-    # Packing: all words of all documents that were left.
+    # Packing: all tokens of all documents that were left.
     before, after = seen["packing"]
     assert ids["packing"] == ids["decontaminate"]
-    assert sum(r["length"] for r in after) == sum(len(r["text"].split()) for r in before.values())
+    library = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    size = {i: len(library.encode(r["text"], add_special_tokens=False).ids) for i, r in before.items()}
+    got = {}
+    for r in after:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+        assert r["bin_offset"] + r["length"] <= r["bin_used"] <= r["bin_capacity"]
+    assert got == size
+
+
+def test_columns_named_like_those_of_an_operator_stay(spark, tables):
+    path, rows, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "'mine' AS score", "1 AS lang_pred")
+    kept = corpus_pipeline.language_id(spark, docs, path)
+    assert kept.columns == docs.columns
+    assert {(r["score"], r["lang_pred"]) for r in kept.collect()} == {("mine", 1)}
 
 
 def test_run_is_registered_and_gives_the_last_stage(spark, tables):

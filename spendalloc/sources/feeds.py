@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.text import squeeze
 from ..functions.values import CENTS, cents
-from ..operators.common import block_row_number, cut_lineage
+from ..operators.common import cut_lineage
+from .quotes import read_records
 
 # Bytes 0xD0 0xDD 0xDE 0xF0 0xFD 0xFE differ between Latin-1 and the Turkish code page.
 _LATIN, _TURKISH = "ÐÝÞðýþ", "ĞİŞğış"
@@ -18,11 +19,11 @@ def read_feeds(spark, path: str) -> DataFrame:
 
     Lines are read as raw bytes by splits, so a large file is spread over
     tasks. A file is UTF-8 when all of its lines are, else the Turkish code
-    page; its delimiter is the most frequent candidate of its first line."""
+    page; its delimiter is the most frequent candidate of its first line. Quoted
+    cells may hold line breaks (`quotes.read_records`)."""
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value")
-    raw = cut_lineage(raw.withColumn("bytes", F.col("value").cast("binary")).drop("value"))
+        F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("bytes"))
     ok = F.is_valid_utf8(F.col("bytes").cast("string"))
     files = raw.groupBy("path").agg(
         F.bool_and(ok).alias("utf8"), F.min_by("bytes", F.struct("block", "at")).alias("first"))
@@ -35,16 +36,12 @@ def read_feeds(spark, path: str) -> DataFrame:
     for d in reversed(DELIMITERS):
         delimiter = F.when((n(d) == most) & (most > 0), d).otherwise(delimiter)
     files = files.withColumn("delimiter", delimiter).drop("first")
-    order = F.row_number().over(_by_path())
-    files = files.withColumn("source_seq", order)
-    rows = block_row_number(raw, ["path"], ["block", "at"], "line").join(files, "path")
-    # A delimiter inside quotes is followed by an odd number of quotes up to the end.
-    cut = F.concat(F.lit("[") , F.col("delimiter"), F.lit('](?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    cells = F.transform(F.split(text("bytes"), cut, F.lit(-1)), lambda c: F.replace(
-        F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    files = cut_lineage(files.withColumn("source_seq", F.row_number().over(_by_path())))
+    records = read_records(raw.join(files, "path").select("path", "block", "at", text("bytes").alias("text"), "delimiter"))
     name = F.element_at(F.split("path", "/"), -1)
-    return rows.select("source_seq", name.alias("file"), F.regexp_replace(name, r"\.[^.]*$", "").alias("sheet"),
-                       (F.col("line") - 1).cast("int").alias("row"), cells.alias("cells"))
+    return records.join(files, "path").select(
+        "source_seq", name.alias("file"), F.regexp_replace(name, r"\.[^.]*$", "").alias("sheet"),
+        F.col("row").cast("int").alias("row"), "cells")
 
 
 def _by_path():

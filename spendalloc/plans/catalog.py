@@ -14,7 +14,7 @@ _MODULES = [
     (reports, ["center_rollup", "top_centers", "company_rollup", "allocation_totals", "allocation_table", "line_table",
                "run_summary", "label_summary", "cover_counts", "center_table", "review_queue", "suggest_map", "coverage",
                "compare_runs", "align", "accuracy", "route_rule", "company_mismatch", "release_gate"]),
-    (landing, ["header_resolve", "cells_to_lines", "repeat_sheets", "content_dedup", "same_name", "registers",
+    (landing, ["header_resolve", "cells_to_lines", "repeat_sheets", "quoted_cells", "content_dedup", "same_name", "registers",
                "parse_values", "parse_ids", "parse_labels", "travel_ledger", "assessment", "invoice_fields",
                "message_items", "attendance"]),
     (streams, ["stream_once", "stream_control", "stream_resolve"]),

@@ -4,12 +4,13 @@ cells: source_seq INT, file STRING, sheet STRING, row INT, col INT, value STRING
 one row per non-empty cell; row and col start at 0.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import category_hint, column_key, fold, name_norm
 from ..functions.values import cell_text, id_like, national_id, parse_amount, parse_date, staff_id
+from ..operators.common import cut_lineage
 
 SHEET = ["source_seq", "file", "sheet"]
 ROW = [*SHEET, "row"]
@@ -212,39 +213,87 @@ def column_names(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return column_keys(cells, headers).select(*SHEET, "col", "key")
 
 
+def _repeat_edges(p: DataFrame, sheets: DataFrame) -> DataFrame:
+    """source_seq, sheet, other: sheets of which a share of persons is in an earlier sheet of the file.
+
+    A contained sheet shares one of any `n - needed + 1` of its persons with the
+    sheet that holds it, so only that many of its rarest persons are looked up.
+    Which they are follows from counts per frequency, so no sheet is sorted."""
+    p = cut_lineage(p.join(sheets, ["source_seq", "sheet"]))
+    often = p.groupBy("source_seq", "key").agg(F.count(F.lit(1)).alias("often"))
+    p = cut_lineage(p.join(often, ["source_seq", "key"]).withColumn(
+        "step", F.struct("often", F.pmod(F.xxhash64("key"), F.lit(64)).alias("part"))))
+    upto = Window.partitionBy("source_seq", "sheet").orderBy("step").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    steps = p.groupBy("source_seq", "sheet", "n", "step").agg(F.count(F.lit(1)).alias("c")).withColumn(
+        "upto", F.sum("c").over(upto))
+    last = steps.filter(F.col("upto") > F.col("n") - F.ceil(V.REPEAT_SHARE * F.col("n"))).groupBy(
+        "source_seq", "sheet").agg(F.min("step").alias("last"))
+    rare = p.join(last, ["source_seq", "sheet"]).filter(F.col("step") <= F.col("last"))
+    other = p.select("source_seq", "key", F.col("sheet").alias("other"), F.col("rank").alias("other_rank"))
+    pairs = cut_lineage(rare.join(other, ["source_seq", "key"]).filter(F.col("other_rank") < F.col("rank")).select(
+        "source_seq", "sheet", "n", "other").distinct())
+    members = p.select("source_seq", "sheet", "key")
+    shared = pairs.join(members, ["source_seq", "sheet"]).join(
+        members.withColumnRenamed("sheet", "other"), ["source_seq", "other", "key"]).groupBy(
+        "source_seq", "sheet", "n", "other").agg(F.count(F.lit(1)).alias("c"))
+    return shared.filter(F.col("c") >= V.REPEAT_SHARE * F.col("n")).select("source_seq", "sheet", "other")
+
+
+def _primary_sheets(edges: DataFrame) -> DataFrame:
+    """source_seq, sheet: sheets that others may repeat, as a pass in rank order leaves them.
+
+    Each round settles every sheet whose earlier sheets are settled: next to a
+    primary one it repeats, with no primary one left it is primary itself. The
+    earliest open sheet is settled in any case, so rounds end."""
+    on = ["source_seq", "sheet"]
+    target = edges.select("source_seq", F.col("other").alias("sheet")).distinct()
+    primary = cut_lineage(target.join(edges, on, "left_anti"))
+    found, fresh = primary, primary
+    while not edges.isEmpty():
+        hit = edges.join(fresh.withColumnRenamed("sheet", "other"), ["source_seq", "other"], "left_semi")
+        repeats = cut_lineage(hit.select(*on).distinct())
+        open_ = edges.join(repeats, on, "left_anti")
+        left = cut_lineage(open_.join(repeats.withColumnRenamed("sheet", "other"), ["source_seq", "other"], "left_anti"))
+        fresh = cut_lineage(open_.select(*on).distinct().join(left, on, "left_anti"))
+        found, edges = found.unionByName(fresh), left
+    return cut_lineage(found)
+
+
 def mark_repeat_sheets(lines: DataFrame) -> DataFrame:
     """H7: sheets whose persons are 80 % contained in a larger sheet of the file.
 
-    Persons are made distinct per sheet first, so the self join meets each
-    shared person once per pair of sheets; sheets are settled largest first."""
+    Sheets are settled largest first (then by first row and name): a sheet close
+    to an earlier primary one repeats the first such. Sheets with equal persons
+    go as one, so copies do not meet each other. Sheets without a name or
+    persons repeat nothing; an empty table gives an empty result."""
     norm = name_norm("person_raw")
     key = F.coalesce(F.concat(F.lit("S:"), F.nullif("staff_id_raw", F.lit(""))),
                      F.concat(F.lit("T:"), F.nullif("national_id_raw", F.lit(""))),
                      F.when(norm != "", F.concat(F.lit("I:"), norm)))
-    p = lines.select("source_seq", "sheet", key.alias("key"), "row_no").filter("key is not null and sheet <> ''")
-    first = p.groupBy("source_seq", "sheet").agg(F.min("row_no").alias("first_row"))
-    p = p.select("source_seq", "sheet", "key").distinct()
-    size = p.groupBy("source_seq", "sheet").agg(F.count(F.lit(1)).alias("n")).join(first, ["source_seq", "sheet"])
-    both = p.join(p.withColumnRenamed("sheet", "other"), ["source_seq", "key"]).filter("sheet <> other")
-    shared = both.groupBy("source_seq", "sheet", "other").agg(F.count(F.lit(1)).alias("c"))
-    close = shared.join(size.select("source_seq", "sheet", "n"), ["source_seq", "sheet"]).filter(
-        (F.col("n") >= V.REPEAT_MIN) & (F.col("c") >= V.REPEAT_SHARE * F.col("n")))
-    close = close.groupBy("source_seq", "sheet").agg(F.collect_set("other").alias("close"))
-    sheets = size.join(close, ["source_seq", "sheet"], "left").withColumn(
-        "close", F.coalesce("close", F.array().cast("array<string>")))
-    # Sheets of one file, largest first: a sheet close to an earlier primary one repeats it.
-    per = sheets.groupBy("source_seq").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("n")).alias("o"), "first_row", "sheet", "close"))).alias("s"))
-    start = F.array().cast("array<struct<sheet:string,primary:string>>")
-
-    def settle(acc, s):
-        primary = F.filter(acc, lambda a: a["primary"].isNull() & F.array_contains(s["close"], a["sheet"]))
-        return F.concat(acc, F.array(F.struct(
-            s["sheet"].alias("sheet"), F.get(primary, F.lit(0))["sheet"].alias("primary"))))
-
-    settled = per.select("source_seq", F.explode(F.aggregate("s", start, settle)).alias("r")).select(
-        "source_seq", "r.sheet", F.col("r.primary").alias("repeats"))
-    return lines.join(settled, ["source_seq", "sheet"], "left")
+    on = ["source_seq", "sheet"]
+    rows = lines.select(*on, key.alias("key"), "row_no").filter("key is not null and sheet <> ''")
+    p = cut_lineage(rows.groupBy(*on, "key").agg(F.min("row_no").alias("row")))
+    digest = lambda salt: F.sum(F.xxhash64("key", F.lit(salt)).cast("decimal(38,0)"))
+    size = cut_lineage(p.groupBy(*on).agg(
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), digest(1).alias("d1"), digest(2).alias("d2")).filter(
+        F.col("n") >= V.REPEAT_MIN).select(
+        *on, "n", "d1", "d2", F.struct((-F.col("n")).alias("o"), "row", "sheet").alias("rank")))
+    same = size.groupBy("source_seq", "n", "d1", "d2").agg(F.min("rank").alias("rank"))
+    heads = same.select("source_seq", F.col("rank.sheet").alias("sheet"), "n", "rank")
+    edges = cut_lineage(_repeat_edges(p.drop("row"), heads))
+    primary = _primary_sheets(edges)
+    ranks = size.select("source_seq", F.col("sheet").alias("other"), F.col("rank").alias("other_rank"))
+    settled = edges.join(primary, on, "left_anti").join(
+        primary.withColumnRenamed("sheet", "other"), ["source_seq", "other"], "left_semi").join(
+        ranks, ["source_seq", "other"]).groupBy(*on).agg(F.min_by("other", "other_rank").alias("repeats"))
+    # What holds for the first of equal sheets holds for all; where it is primary, the others repeat it.
+    twins = size.select(*on, "n", "d1", "d2").join(
+        same.select("source_seq", "n", "d1", "d2", F.col("rank.sheet").alias("head")), ["source_seq", "n", "d1", "d2"])
+    marked = twins.join(settled.withColumnRenamed("sheet", "head"), ["source_seq", "head"], "left").select(
+        *on, F.coalesce("repeats", F.when(F.col("head") != F.col("sheet"), F.col("head"))).alias("repeats")).filter(
+        "repeats is not null")
+    return lines.join(cut_lineage(marked), on, "left")
 
 
 def classify_feeds(cells: DataFrame, headers: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -2,19 +2,24 @@
 
 Each line has features (length, shares of kinds of characters, repeats); the
 field's weights and transitions are learned from documents that carry a quality
-label, all of whose lines take the document's label. Viterbi decoding marks
+label. Their lines take the document's label, so none of them shows a change;
+further chains therefore join a run of a good document and one to four lines of
+a poor one, before or after it, as headers and footers stand. Viterbi decoding marks
 each line of a text content or boilerplate, and a document is kept when enough
 of its characters stand in content lines. Base rules come first.
 
 The field is fitted on a bounded sample: `train_docs` labelled documents, those
-with the smallest hash of the id, and of each its first `train_lines` lines.
-Everything else covers whole texts of all rows. Null and empty texts have no
+with the smallest hash of the id, of each a run of `train_lines` lines that
+begins anywhere in the text (by the text's hash), and at most `MIXED` joined chains.
+Rows that share an id are taken by the hash of their texts, so that the sample
+does not depend on partitions. Everything else covers whole texts of all rows. Null and empty texts have no
 words and fail the base rules. Repeated rows each get a row; with no labelled
 document every line is content; an empty table gives an empty result; extra
 columns are ignored."""
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,7 @@ SYMBOLS = b"#*$%&|<>"
 _KINDS = [SYMBOLS, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"!?", b"|", b"/@_=+{}[]\\~^",
           b".,;:", bytes(range(128, 256))]
 N_FEATURES = len(_KINDS) + 8
+MIXED = 1000
 _MARK = [np.isin(np.arange(256), list(k)) for k in _KINDS]
 
 
@@ -146,29 +152,50 @@ def base_figures(raw: bytes, n_points: int):
 
 
 def _train_rows(max_lines):
-    schema = pa.schema([("quality", pa.int64()), ("n", pa.int64()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("id", pa.int64()), ("quality", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()),
+                        ("x", pa.list_(pa.float64()))])
 
     def run(batches):
         for b in cut(batches):
-            rows = []
+            rows, digests = [], []
             for t in b.column("text").to_pylist():
-                raw = b"\n".join(t.encode("utf-8", "surrogatepass").split(b"\n")[:max_lines])
-                rows.append(line_features(raw)[0])
-            yield table(schema, quality=b.column("quality"), n=[len(r) for r in rows],
-                        x=[r.ravel().tolist() for r in rows])
+                raw = t.encode("utf-8", "surrogatepass")
+                digests.append(xxhash.xxh3_64_intdigest(raw) >> 1)
+                x, _ = line_features(raw)
+                start = digests[-1] % max(1, len(x) - max_lines + 1)
+                rows.append(x[start:start + max_lines])
+            yield table(schema, id=b.column("_id"), quality=b.column("quality"), digest=digests,
+                        n=[len(r) for r in rows], x=[r.ravel().tolist() for r in rows])
     return run
 
 
+def mixed_chains(good: list, poor: list, most: int = MIXED) -> tuple[list, list]:
+    """Chains of a run of a good document next to one to four lines of a poor one, and their labels."""
+    docs, labels = [], []
+    for i in range(min(most, max(len(good), len(poor)))) if good and poor else ():
+        a, p = good[i % len(good)], poor[i % len(poor)]
+        n = 1 + i // 2 % 4
+        start = 7 * i % max(1, len(p) - n + 1)
+        b = p[start:start + n]
+        parts = [(a, 1), (b, 0)] if i % 2 == 0 else [(b, 0), (a, 1)]
+        docs.append(np.concatenate([x for x, _ in parts]))
+        labels.append(np.concatenate([np.full(len(x), y) for x, y in parts]))
+    return docs, labels
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, train_lines: int = 60):
     """Field fitted on a bounded sample of labelled documents; what reaches the driver has that bound."""
     sample = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("long").alias("quality")).orderBy(
         F.xxhash64("_id"), "_id", "quality").limit(train_docs)
-    rows = docs.join(sample, F.col("doc_id") == F.col("_id")).select("quality", "text").mapInArrow(
-        _train_rows(train_lines), "quality long, n long, x array<double>").limit(2 * train_docs).collect()
-    rows.sort(key=lambda r: (r["quality"], r["n"], r["x"]))
-    return train_field([np.array(r["x"]).reshape(r["n"], N_FEATURES) for r in rows],
-                       [np.full(r["n"], int(r["quality"] > 0)) for r in rows])
+    rows = docs.join(sample, F.col("doc_id") == F.col("_id")).select("_id", "quality", "text").mapInArrow(
+        _train_rows(train_lines), "id long, quality long, digest long, n long, x array<double>").orderBy(
+        F.xxhash64("id"), "id", "quality", "digest").limit(2 * train_docs).collect()
+    docs_x = [np.array(r["x"]).reshape(r["n"], N_FEATURES) for r in rows]
+    good = [x for x, r in zip(docs_x, rows) if r["quality"] > 0]
+    poor = [x for x, r in zip(docs_x, rows) if r["quality"] <= 0]
+    mixed, changes = mixed_chains(good, poor)
+    return train_field(docs_x + mixed, [np.full(r["n"], int(r["quality"] > 0)) for r in rows] + changes)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.text import company_of, is_entity, site_key
+from ..functions.text import column_key, company_of, is_entity, site_key
 from ..functions.values import CENTS, cents
 from .asof import spread_null
 from .common import block_row_number, top_per_group
@@ -138,24 +138,34 @@ def explode_shares(lines: DataFrame, keys: DataFrame, inherited: bool = True) ->
 
 # --- A6-A8 -------------------------------------------------------------------
 
+def company_key(label) -> Column:
+    """One name per company, however invoices and lists of persons spell it; null for a blank one."""
+    key = column_key(label)
+    known = F.create_map(*[F.lit(x) for pair in V.POOL_COMPANY.items() for x in pair])
+    return F.coalesce(known[key], F.nullif(F.upper(key), F.lit("")))
+
+
 def pool_totals(detail: DataFrame) -> DataFrame:
-    """Declared pool per company: detail has company, amount."""
-    d = detail.filter("company is not null and amount is not null")
+    """Declared pool per company, all its spellings together: detail has company, amount."""
+    d = detail.withColumn("company", company_key("company")).filter("company is not null and amount is not null")
     return d.groupBy("company").agg(F.sum("amount").cast("decimal(28,6)").alias("pool"))
 
 
 def bridge_pools(persons: DataFrame, pools: DataFrame) -> DataFrame:
     """Persons whose company has no pool get the only pool that has no persons.
 
-    persons has company; the result adds pool_company."""
-    have = persons.select("company").distinct()
-    empty = pools.select("company").join(have, "company", "left_anti")
+    persons has company in any spelling, pools comes from `pool_totals`; the
+    result adds pool_company. Without a company, or where several pools or none
+    are without persons, it stays null."""
+    p = persons.withColumn("_company", company_key("company"))
+    have = p.select("_company").distinct()
+    empty = pools.select("company").join(have, F.col("company") == F.col("_company"), "left_anti")
     only = empty.agg(F.count(F.lit(1)).alias("n"), F.first("company").alias("c"))
     lone = only.select(F.when(F.col("n") == 1, F.col("c")).alias("c")).scalar()
-    known = pools.select("company", F.lit(True).alias("_known"))
-    j = persons.join(known, "company", "left")
-    return j.withColumn("pool_company", F.when(F.col("_known"), F.col("company")).when(
-        F.col("company").isNotNull(), lone)).drop("_known")
+    known = pools.select(F.col("company").alias("_company"), F.lit(True).alias("_known"))
+    j = p.join(known, "_company", "left")
+    return j.withColumn("pool_company", F.when(F.col("_known"), F.col("_company")).when(
+        F.col("_company").isNotNull(), lone)).drop("_known", "_company")
 
 
 def split_pool(persons: DataFrame, pools: DataFrame, order=("source_seq", "row_no")) -> DataFrame:

@@ -5,7 +5,7 @@ from . import landing, names, reports, settlement, streams
 # module -> query names; a query has an SQL twin when the upper-case name exists.
 _MODULES = [
     (settlement, ["asof_site", "latest_site", "center_resolve", "missing_sites", "share_allocate",
-                  "remainder_settle", "pool_split", "control_close", "control_totals", "detail_check",
+                  "remainder_settle", "pool_split", "pool_bridge", "control_close", "control_totals", "detail_check",
                   "dedup_exact", "dedup_suspects", "dedup_overlap"]),
     (names, ["name_keys", "clean_text", "surname_forms", "token_stats", "roster_profile", "secondary_profile",
              "exact_match", "subset_join", "unjoined_names", "known_identities", "secondary_match", "family",

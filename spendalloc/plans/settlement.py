@@ -222,6 +222,33 @@ JOIN (SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,6)) * 100) A
   ON l_orderkey = o_orderkey""", V.LINE)
 
 
+def pool_bridge(spark, d) -> DataFrame:
+    """Pools of companies in several spellings; persons without a pool take the one without persons."""
+    o = V.load(spark, d, "orders")
+    pool = F.when(F.col("o_orderpriority") == "1-URGENT", "Spare / Pool").when(
+        F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 2 == 0, "RC Moskova").otherwise("rc")).when(
+        F.col("o_orderstatus") == "O", F.when(F.col("o_orderkey") % 2 == 0, "RENSERVIS").otherwise("RSS")).otherwise(" rsd ")
+    pools = A.pool_totals(o.select(pool.alias("company"), F.col("o_totalprice").cast("decimal(18,6)").alias("amount")))
+    spelled = F.array(*map(F.lit, ("rhi", "RHI", "RC-Peter", "Renstroydetal", "rs", "Unknown Co", " - ")))
+    l = V.line(spark, d).select("source_seq", "row_no", F.get(
+        spelled, F.col("l_linenumber").cast("int") - 1).alias("company"))
+    return A.split_pool(A.bridge_pools(l, pools), pools).select("company", "pool_company", "row_no", "amount")
+
+
+POOL_BRIDGE = V.with_ctes("""
+p AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'SPARE POOL' WHEN o_orderstatus = 'F' THEN 'RC'
+                  WHEN o_orderstatus = 'O' THEN 'RSS' ELSE 'RSD' END AS pool_company,
+             CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,6))) * 100) AS BIGINT) AS cents FROM orders GROUP BY 1),
+m AS (SELECT row_no, ['rhi', 'RHI', 'RC-Peter', 'Renstroydetal', 'rs', 'Unknown Co'][l_linenumber] AS company,
+             CASE l_linenumber WHEN 3 THEN 'RC' WHEN 4 THEN 'RSD' WHEN 5 THEN 'RSS' ELSE 'SPARE POOL' END AS pool_company
+      FROM v_line WHERE l_linenumber < 7),
+r AS (SELECT *, count(*) OVER (PARTITION BY pool_company) AS n,
+             row_number() OVER (PARTITION BY pool_company ORDER BY row_no) AS pos FROM m)
+SELECT company, pool_company, row_no,
+       CAST((cents // n + CASE WHEN pos <= cents % n THEN 1 ELSE 0 END) / 100 AS DECIMAL(18,2)) AS amount
+FROM r JOIN p USING (pool_company)""", V.LINE)
+
+
 # --- reconciliation ----------------------------------------------------------
 
 def _closed(spark, d) -> DataFrame:

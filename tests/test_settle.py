@@ -110,6 +110,24 @@ def test_pools(spark):
     assert [r["amount"] for r in out.filter("pool_company = 'RSD'").collect()] == [Dec("76.78")]
 
 
+def test_pools_of_other_spellings(spark):
+    persons = spark.createDataFrame(
+        [(0, 1, "RC Peter"), (0, 2, "rc_moskova"), (0, 3, "Renstroydetal"), (0, 4, "YENI A.S."), (0, 5, " "), (0, 6, None)],
+        "source_seq int, row_no bigint, company string")
+    detail = spark.createDataFrame(
+        [("RC", Dec(10)), ("rc peter", Dec(5)), ("RSD", Dec(7)), ("Diger", Dec(4)), (None, Dec(9)), ("-", Dec(9)), ("RHI", None)],
+        "company string, amount decimal(18,6)")
+    pools = A.pool_totals(detail)
+    assert {r["company"]: r["pool"] for r in pools.collect()} == {"RC": 15, "RSD": 7, "DIGER": 4}
+    got = {r["row_no"]: (r["company"], r["pool_company"]) for r in A.bridge_pools(persons, pools).collect()}
+    assert got == {1: ("RC Peter", "RC"), 2: ("rc_moskova", "RC"), 3: ("Renstroydetal", "RSD"), 4: ("YENI A.S.", "DIGER"),
+                   5: (" ", None), 6: (None, None)}
+    # Two pools without persons: none is chosen.
+    more = A.pool_totals(detail.union(spark.createDataFrame([("Iki", Dec(1))], detail.schema)))
+    assert A.bridge_pools(persons, more).filter("row_no = 4").head()["pool_company"] is None
+    assert A.bridge_pools(persons.limit(0), pools).count() == 0
+
+
 def test_detail_and_mismatch(spark):
     d = spark.createDataFrame([(0, 1, "F1", "det", "ALI", "AIL"), (0, 2, "F1", "det", "VELI", "EILV")],
                               "source_seq int, row_no int, invoice_no string, feed string, person string, sig string")

@@ -8,8 +8,9 @@ and so on: a further language must gain more than its penalty. The largest
 share of that set is the prediction, and its share the score.
 
 Learning takes at most about `train_docs` documents of each language, those with
-the smallest hash of the id, and at most `max_langs` languages, the most
-frequent ones; prediction covers whole texts of all rows. Null texts, texts
+the smallest hash of the id; every language that a label names is learned, and
+more than `max_langs` of them are an error, since the model (128 KB for each) is
+sent to all tasks. Prediction covers whole texts of all rows. Null texts, texts
 without a letter, and all texts when nothing could be learned, are "und" with
 score 0. Ties go to the language that comes first by name. Repeated rows each
 get a row; an empty table gives an empty result; extra columns are ignored."""
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, cut, id_text, table
+from .common import append_columns, cut, id_text, stash, table
 
 BUCKETS = 1 << 14
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -40,26 +41,34 @@ def trigrams(text: str) -> np.ndarray:
 def _learn(batches):
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
     sums: dict = {}
+
+    def flush():
+        for lang, n in sums.items():
+            at = np.flatnonzero(n)
+            yield table(schema, lang=[lang] * len(at), bucket=at, n=n[at])
+        sums.clear()
+
     for b in cut(batches):
         for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
             if has_letter(t):
                 sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(t), minlength=BUCKETS)
-    for lang, n in sums.items():
-        at = np.flatnonzero(n)
-        yield table(schema, lang=[lang] * len(at), bucket=at, n=n[at])
+                if len(sums) >= 256:
+                    yield from flush()
+    yield from flush()
 
 
 def fit(docs: DataFrame, train_docs: int, max_langs: int, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages by name and their trigram probabilities. `docs` has doc_id, text, lang."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
+    # A written table of one row per language: small enough to be broadcast by its real size.
+    sizes = stash(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
+    n_langs = sizes.count()
+    if n_langs > max_langs:
+        raise ValueError(f"{n_langs} languages are labelled, more than max_langs = {max_langs}")
+    if not n_langs:
         return [], np.zeros((BUCKETS, 0))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(train_docs / r["count"])).otherwise(share)
     place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    counts = known.filter(place < share).select("lang", "text").mapInArrow(
+    counts = known.join(sizes, "lang").filter(place < train_docs / F.col("size")).select("lang", "text").mapInArrow(
         _learn, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     n = np.full((BUCKETS, len(langs)), smooth)
@@ -117,7 +126,7 @@ def infer(texts: list[str], probs: np.ndarray, rounds: int, penalty: float) -> n
     return best
 
 
-def language_mix(docs: DataFrame, train: Column | None = None, train_docs: int = 5000, max_langs: int = 100,
+def language_mix(docs: DataFrame, train: Column | None = None, train_docs: int = 5000, max_langs: int = 1000,
                  rounds: int = 12, penalty: float = 3.0, id_col: str = "doc_id", text_col: str = "text",
                  lang_col: str = "lang", keep_columns: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, mixture ("en:0.93 fr:0.07") for every row.

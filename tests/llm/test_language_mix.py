@@ -105,6 +105,17 @@ def test_odd_rows(spark):
     assert [(r["lang_pred"], r["score"], r["mixture"]) for r in none] == [("und", 0.0, "")] * 2
 
 
+def test_no_language_is_dropped(spark):
+    r = random.Random(1)
+    sounds = {f"l{i:03d}": [chr(97 + i % 26) + chr(97 + i // 26) + x for x in ("ra", "mo", "ti")] for i in range(300)}
+    docs = spark.createDataFrame([(i, " ".join(r.choice(s) for _ in range(60)), lang)
+                                  for i, (lang, s) in enumerate(sounds.items())], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["lang_pred"] for x in language_mix(docs.repartition(2), train_docs=10**6).collect()}
+    assert [got[i] for i in range(300)] == list(sounds)
+    with pytest.raises(ValueError):
+        language_mix(docs, max_langs=299)
+
+
 def test_tie_goes_to_the_first_name(spark):
     same = [(i, "same words for both", lang) for i, lang in enumerate(["zz", "bb", "zz", "bb"])]
     docs = spark.createDataFrame(same + [(9, "same words", None)], "doc_id long, text string, lang string")

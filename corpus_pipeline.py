@@ -20,13 +20,25 @@ from spendalloc.llm.set_join import similar_components
 MIN_SHARE = 0.5
 #: Lines found in so many documents stay in the first of them only.
 MIN_LINE_DOCS = 10
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 500
 #: The file whose tokens sequences are packed in.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def begin(spark) -> None:
+    """Before a stage: broadcasts of earlier stages leave the executors, and Arrow batches get a bound in rows.
+
+    Spark's own bound, 10,000 rows, holds a whole partition of long texts in memory outside
+    the heap, on both sides of the pipe; a smaller bound of the session stays."""
+    forget()
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, min(BATCH_ROWS, int(spark.conf.get(rows)) if int(spark.conf.get(rows)) > 0 else BATCH_ROWS))
+
+
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of which no language has half, go."""
-    forget()
+    begin(spark)
     # Columns that are named like the operator's own step aside meanwhile.
     aside = {c: f"_kept_{c}" for c in docs.columns if c in ("lang_pred", "score", "mixture")}
     found = language_mix(docs.withColumnsRenamed(aside), keep_columns=True)
@@ -36,7 +48,7 @@ def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go but for their first document; a document of nothing but such lines goes with them."""
-    forget()
+    begin(spark)
     cut = line_dedup(docs, MIN_LINE_DOCS, keep="first", keep_columns=True)
     left = cut.filter((F.col("_llm_dropped") == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.when(F.col("_llm_dropped") == 0, F.col("n_chars")).otherwise(
@@ -45,21 +57,21 @@ def repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with similarity 0.8 or more, the one with the smallest id stays."""
-    forget()
+    begin(spark)
     groups = similar_components(docs, width=5, percent=80)
     return without_ids(docs, groups.filter("component_id < doc_id").select("doc_id")).select(*docs.columns)
 
 
 def benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which a benchmark item leaks go."""
-    forget()
+    begin(spark)
     leaks = stash(decontaminate(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return without_ids(docs, leaks).select(*docs.columns)
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
-    forget()
+    begin(spark)
     return best_fit_packing(token_lengths(docs, TOKENIZER))
 
 

@@ -12,10 +12,10 @@ misses is found exactly (`complete`): all passages around which at least as many
 of the item's words stand as a fair subsequence has, counted by an index from
 words to items.
 
-The space is fitted on passages of about `fit_docs` documents, those with the
-smallest hash of the id; frequencies, passages and candidates cover whole texts
-of all rows. Items are taken in blocks of about `block_items`, so what is sent
-to tasks has a bound. Null and empty texts leak nothing; items with fewer than
+The space is fitted on the passages of all documents (of about `fit_docs`, those
+with the smallest hash of the id, where a caller asks for it); frequencies,
+passages and candidates cover whole texts of all rows. Items are taken in blocks
+of about `block_items`, so what is sent to tasks has a bound. Null and empty texts leak nothing; items with fewer than
 `min_words` words leak only where all their words stand one after the other. In
 scripts without spaces a character is a word. Rows that repeat an id are one document. An
 empty table gives an empty result; extra columns are ignored."""
@@ -37,6 +37,7 @@ FEATURES = 1 << 13
 _SLICE = 512
 _BATCH_BYTES = 1 << 20  # of texts whose words are held at a time
 _CHUNKS = 64  # half passages whose vectors are compared at a time
+_GROUP = 16  # passages to fit on in a row
 _PAIRS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, start_word long"
 
 
@@ -89,11 +90,19 @@ def _frequencies(vocabulary):
     return run
 
 
+def _entries(at: np.ndarray, ids: np.ndarray, idf: np.ndarray):
+    """(passage, feature, weight) of the distinct features of passages; TF-IDF weights of length one in each.
+
+    `at` numbers the passage of each of the features `ids`, in ascending order."""
+    key, n = np.unique(at * len(idf) + ids, return_counts=True)
+    at, f = np.divmod(key, len(idf))
+    w = n * idf[f]
+    return at, f, w / np.maximum(np.sqrt(np.bincount(at, w * w)), 1e-12)[at]
+
+
 def _weighted(ids: np.ndarray, idf: np.ndarray):
     """Distinct features of a passage with TF-IDF weights of length one."""
-    f, n = np.unique(ids, return_counts=True)
-    w = n * idf[f]
-    return f, w / max(np.sqrt((w * w).sum()), 1e-12)
+    return _entries(np.zeros(len(ids), np.int64), ids, idf)[1:]
 
 
 def _passages(vocab):
@@ -101,41 +110,61 @@ def _passages(vocab):
     schema = pa.schema([("terms", pa.list_(pa.int32()))])
 
     def run(batches):
-        for b in cut(batches):
-            out = []
+        for b in cut(batches, size=_BATCH_BYTES):
+            out = [np.zeros(0, np.int32)]
             for t in b.column("text").to_pylist():
-                ids = [vocab.get(w, -1) for w in tokens(t)]
+                ids = np.array(list(map(vocab.get, tokens(t), repeat(-1))), np.int32)
                 for at in range(0, max(1, len(ids) - HALF), HALF):
-                    known = [i for i in ids[at:at + 2 * HALF] if i >= 0]
-                    if known:
+                    known = ids[at:at + 2 * HALF]
+                    known = known[known >= 0]
+                    if len(known):
                         out.append(known)
-            yield table(schema, terms=out)
+            ends = np.cumsum([len(x) for x in out]).astype(np.int32)
+            yield table(schema, terms=pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out))))
     return run
 
 
-def _gram(m, idf):
+def _blocks(idf):
+    """Weighted entries of `_GROUP` passages in a row, as arrays; `n` is the number of passages."""
+    schema = pa.schema([("n", pa.int64()), ("at", pa.binary()), ("f", pa.binary()), ("w", pa.binary())])
+
+    def run(batches):
+        for b in cut(batches, None):
+            terms = b.column("terms")
+            sizes = np.diff(terms.offsets.to_numpy())
+            at, f, w = _entries(np.repeat(np.arange(len(sizes)), sizes), terms.flatten().to_numpy().astype(np.int64), idf)
+            firsts = range(0, len(sizes), _GROUP)
+            ends = np.searchsorted(at, firsts)[1:]
+            parts = lambda x: [v.tobytes() for v in np.split(x, ends)]
+            yield table(schema, n=[min(_GROUP, len(sizes) - i) for i in firsts], at=parts((at % _GROUP).astype(np.uint8)),
+                        f=parts(f.astype(np.uint16)), w=parts(w.astype(np.float32)))
+    return run
+
+
+def _gram(m):
     """A'A m over a task's passages, in slices of features."""
     schema = pa.schema([("part", pa.int64()), ("sums", pa.binary())])
 
     def run(batches):
         total = np.zeros_like(m)
-        for b in cut(batches, None):
-            rows = [_weighted(np.array(t), idf) for t in b.column("terms").to_pylist()]
-            if not rows:
-                continue
-            f, w = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-            sizes = np.array([len(r[0]) for r in rows])
-            y = np.add.reduceat(m[f] * w[:, None], np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        small = m.astype(np.float32)
+        for b in cut(batches, None, rows=64):
+            at, f, w = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in (
+                ("at", np.uint8), ("f", np.uint16), ("w", np.float32)))
+            at = at + _GROUP * np.repeat(np.arange(b.num_rows), [len(x) for x in b.column("at").to_pylist()])
+            # Entries come by passage, so the rows of a passage stand together.
+            new = np.r_[True, at[1:] != at[:-1]]
+            y = np.add.reduceat(small[f] * w[:, None], np.flatnonzero(new))
             order = np.argsort(f, kind="stable")
             terms, first = np.unique(f[order], return_index=True)
-            total[terms] += np.add.reduceat((y[np.repeat(np.arange(len(rows)), sizes)] * w[:, None])[order], first)
+            total[terms] += np.add.reduceat(y[np.cumsum(new)[order] - 1] * w[order, None], first)
         for i in range(0, len(m), _SLICE):
             if total[i:i + _SLICE].any():
                 yield table(schema, part=[i // _SLICE], sums=[total[i:i + _SLICE].tobytes()])
     return run
 
 
-def _times(passages: DataFrame, m: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def _times(passages: DataFrame, m: np.ndarray) -> np.ndarray:
     """A'A m; what reaches the driver is as large as m, which has a fixed bound."""
     width = m.shape[1]
 
@@ -147,7 +176,7 @@ def _times(passages: DataFrame, m: np.ndarray, idf: np.ndarray) -> np.ndarray:
         return pdf
 
     out = np.zeros_like(m)
-    parts = passages.mapInArrow(_gram(m, idf), "part long, sums binary").groupBy("part").applyInPandas(
+    parts = passages.mapInArrow(_gram(m), "part long, sums binary").groupBy("part").applyInPandas(
         add, "part long, sums binary")
     for r in parts.toLocalIterator():
         block = np.frombuffer(r["sums"], float).reshape(-1, width)
@@ -167,8 +196,9 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int, items: list |
     for i, ids in enumerate(items or ()):
         f, w = _weighted(np.array(ids), idf)
         own[i, f] = w
-    scale = passages.count() / max(1, len(own))
-    times = lambda m: _times(passages, m, idf) + scale * (own.T @ (own @ m))
+    blocks = stash(passages.mapInArrow(_blocks(idf), "n long, at binary, f binary, w binary"), "passages")
+    scale = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] / max(1, len(own))
+    times = lambda m: _times(blocks, m) + scale * (own.T @ (own @ m))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(idf), width)))[0]
     for _ in range(rounds):
         q = np.linalg.qr(times(q))[0]
@@ -307,7 +337,7 @@ def _search(items: "_Items", number, min_lcs, fair_lcs, min_answer, min_words, f
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rank: int = 192, min_lcs: float = 0.75,
-                  fair_lcs: float = 0.6, min_answer: float = 0.8, fit_docs: int = 3000, min_words: int = 5,
+                  fair_lcs: float = 0.6, min_answer: float = 0.8, fit_docs: int | None = None, min_words: int = 5,
                   block_items: int = 1000, min_cosine: float = 0.5, far_lcs: float = 0.45, complete: bool = True,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
@@ -338,10 +368,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rank: int = 192, min_lc
         for r in df:
             n[vocab[bytes(r["word"])]] += r["n"]
         idf = (np.log((n_docs + 1) / (np.minimum(n, n_docs) + 1)) + 0.05) ** 2
-        place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-        fit = d.filter(place < fit_docs / n_docs).select("text").unionByName(
-            spark.createDataFrame([(r[1],) for r in rows], "text string"))
-        passages = stash(fit.mapInArrow(_passages(vocab), "terms array<int>"), "passages")
+        fit = d
+        if fit_docs is not None:
+            place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+            fit = d.filter(place < fit_docs / n_docs)
+        fit = fit.select("text").unionByName(spark.createDataFrame([(r[1],) for r in rows], "text string"))
+        passages = fit.mapInArrow(_passages(vocab), "terms array<int>")
         space = latent_space(passages, idf, rank, [[vocab[w] for w in tokens(r[1])] for r in rows])
         items = _Items(rows, number, idf, space, fair_lcs, min_words, min_cosine)
         shared = share(spark, (items, number))

@@ -194,3 +194,13 @@ def test_far_paraphrases_need_the_cosine_and_the_answer(spark):
             spark.createDataFrame(bench, "item_id long, text string, answer string"), answer_col="answer", **more).collect()}
     assert found() == {(1, 0)}
     assert found(min_cosine=2.0) == set()
+
+
+def test_the_space_is_fitted_on_passages_of_all_documents(spark, monkeypatch):
+    seen = []
+    fit = d.latent_space
+    monkeypatch.setattr(d, "latent_space", lambda passages, *more: seen.append(passages.count()) or fit(passages, *more))
+    docs = spark.range(7000).selectExpr("id AS doc_id", "concat('alpha beta ', id % 7, ' gamma') AS text").repartition(2)
+    items = [(0, "alpha beta gamma delta epsilon zeta"), (1, "gamma of the alpha and the beta")]
+    d.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), rank=2)
+    assert seen == [7000 + len(items)]

@@ -38,6 +38,7 @@ _SLICE = 512
 _BATCH_BYTES = 1 << 20  # of texts whose words are held at a time
 _CHUNKS = 64  # half passages whose vectors are compared at a time
 _GROUP = 16  # passages to fit on in a row
+_OFTEN = 512  # features that are multiplied as a matrix
 _PAIRS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, start_word long"
 
 
@@ -141,9 +142,15 @@ def _blocks(idf):
     return run
 
 
-def _gram(m):
-    """A'A m over a task's passages, in slices of features."""
+def _gram(m, idf):
+    """A'A m over a task's passages, in slices of features.
+
+    The commonest features make up most entries: they are multiplied as a
+    matrix, the others entry by entry."""
     schema = pa.schema([("part", pa.int64()), ("sums", pa.binary())])
+    often = np.argsort(idf, kind="stable")[:_OFTEN]
+    column = np.full(len(idf), -1)
+    column[often] = np.arange(len(often))
 
     def run(batches):
         total = np.zeros_like(m)
@@ -152,19 +159,27 @@ def _gram(m):
             at, f, w = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in (
                 ("at", np.uint8), ("f", np.uint16), ("w", np.float32)))
             at = at + _GROUP * np.repeat(np.arange(b.num_rows), [len(x) for x in b.column("at").to_pylist()])
-            # Entries come by passage, so the rows of a passage stand together.
-            new = np.r_[True, at[1:] != at[:-1]]
-            y = np.add.reduceat(small[f] * w[:, None], np.flatnonzero(new))
-            order = np.argsort(f, kind="stable")
-            terms, first = np.unique(f[order], return_index=True)
-            total[terms] += np.add.reduceat(y[np.cumsum(new)[order] - 1] * w[order, None], first)
+            c = column[f]
+            known = c >= 0
+            common = np.zeros((_GROUP * b.num_rows, len(often)), np.float32)
+            common[at[known], c[known]] = w[known]
+            y = common @ small[often]
+            at, f, w = at[~known], f[~known], w[~known, None]
+            if len(f):
+                # Entries come by passage, so those of a passage stand together.
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                y[at[first]] += np.add.reduceat(small[f] * w, first)
+                order = np.argsort(f, kind="stable")
+                terms, first = np.unique(f[order], return_index=True)
+                total[terms] += np.add.reduceat(y[at[order]] * w[order], first)
+            total[often] += common.T @ y
         for i in range(0, len(m), _SLICE):
             if total[i:i + _SLICE].any():
                 yield table(schema, part=[i // _SLICE], sums=[total[i:i + _SLICE].tobytes()])
     return run
 
 
-def _times(passages: DataFrame, m: np.ndarray) -> np.ndarray:
+def _times(passages: DataFrame, m: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """A'A m; what reaches the driver is as large as m, which has a fixed bound."""
     width = m.shape[1]
 
@@ -176,7 +191,7 @@ def _times(passages: DataFrame, m: np.ndarray) -> np.ndarray:
         return pdf
 
     out = np.zeros_like(m)
-    parts = passages.mapInArrow(_gram(m), "part long, sums binary").groupBy("part").applyInPandas(
+    parts = passages.mapInArrow(_gram(m, idf), "part long, sums binary").groupBy("part").applyInPandas(
         add, "part long, sums binary")
     for r in parts.toLocalIterator():
         block = np.frombuffer(r["sums"], float).reshape(-1, width)
@@ -198,7 +213,7 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int, items: list |
         own[i, f] = w
     blocks = stash(passages.mapInArrow(_blocks(idf), "n long, at binary, f binary, w binary"), "passages")
     scale = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] / max(1, len(own))
-    times = lambda m: _times(blocks, m) + scale * (own.T @ (own @ m))
+    times = lambda m: _times(blocks, m, idf) + scale * (own.T @ (own @ m))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(idf), width)))[0]
     for _ in range(rounds):
         q = np.linalg.qr(times(q))[0]

@@ -91,19 +91,16 @@ def _frequencies(vocabulary):
     return run
 
 
-def _entries(at: np.ndarray, ids: np.ndarray, idf: np.ndarray):
-    """(passage, feature, weight) of the distinct features of passages; TF-IDF weights of length one in each.
-
-    `at` numbers the passage of each of the features `ids`, in ascending order."""
-    key, n = np.unique(at * len(idf) + ids, return_counts=True)
-    at, f = np.divmod(key, len(idf))
+def _weights(at: np.ndarray, f: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of the features of passages, of length one in each; `at` numbers the passages."""
     w = n * idf[f]
-    return at, f, w / np.maximum(np.sqrt(np.bincount(at, w * w)), 1e-12)[at]
+    return w / np.maximum(np.sqrt(np.bincount(at, w * w)), 1e-12)[at]
 
 
 def _weighted(ids: np.ndarray, idf: np.ndarray):
     """Distinct features of a passage with TF-IDF weights of length one."""
-    return _entries(np.zeros(len(ids), np.int64), ids, idf)[1:]
+    f, n = np.unique(ids, return_counts=True)
+    return f, _weights(np.zeros(len(f), np.int64), f, n, idf)
 
 
 def _passages(vocab):
@@ -125,21 +122,19 @@ def _passages(vocab):
     return run
 
 
-def _blocks(idf):
-    """Weighted entries of `_GROUP` passages in a row, as arrays; `n` is the number of passages."""
-    schema = pa.schema([("n", pa.int64()), ("at", pa.binary()), ("f", pa.binary()), ("w", pa.binary())])
-
-    def run(batches):
-        for b in cut(batches, None):
-            terms = b.column("terms")
-            sizes = np.diff(terms.offsets.to_numpy())
-            at, f, w = _entries(np.repeat(np.arange(len(sizes)), sizes), terms.flatten().to_numpy().astype(np.int64), idf)
-            firsts = range(0, len(sizes), _GROUP)
-            ends = np.searchsorted(at, firsts)[1:]
-            parts = lambda x: [v.tobytes() for v in np.split(x, ends)]
-            yield table(schema, n=[min(_GROUP, len(sizes) - i) for i in firsts], at=parts((at % _GROUP).astype(np.uint8)),
-                        f=parts(f.astype(np.uint16)), w=parts(w.astype(np.float32)))
-    return run
+def _blocks(batches):
+    """Distinct features of `_GROUP` passages in a row: passage, feature and number as arrays; `n` is the number of passages."""
+    schema = pa.schema([("n", pa.int64()), ("at", pa.binary()), ("f", pa.binary()), ("times", pa.binary())])
+    for b in cut(batches, None):
+        terms = b.column("terms")
+        sizes = np.diff(terms.offsets.to_numpy())
+        key, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * FEATURES + terms.flatten().to_numpy(), return_counts=True)
+        at, f = np.divmod(key, FEATURES)
+        firsts = range(0, len(sizes), _GROUP)
+        ends = np.searchsorted(at, firsts)[1:]
+        parts = lambda x: [v.tobytes() for v in np.split(x, ends)]
+        yield table(schema, n=[min(_GROUP, len(sizes) - i) for i in firsts], at=parts((at % _GROUP).astype(np.uint8)),
+                    f=parts(f.astype(np.uint16)), times=parts(times.astype(np.int32)))
 
 
 def _gram(m, idf):
@@ -154,21 +149,21 @@ def _gram(m, idf):
 
     def run(batches):
         total = np.zeros_like(m)
-        small = m.astype(np.float32)
         for b in cut(batches, None, rows=64):
-            at, f, w = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in (
-                ("at", np.uint8), ("f", np.uint16), ("w", np.float32)))
+            at, f, n = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in (
+                ("at", np.uint8), ("f", np.uint16), ("times", np.int32)))
             at = at + _GROUP * np.repeat(np.arange(b.num_rows), [len(x) for x in b.column("at").to_pylist()])
+            w = _weights(at, f, n, idf)
             c = column[f]
             known = c >= 0
-            common = np.zeros((_GROUP * b.num_rows, len(often)), np.float32)
+            common = np.zeros((_GROUP * b.num_rows, len(often)))
             common[at[known], c[known]] = w[known]
-            y = common @ small[often]
+            y = common @ m[often]
             at, f, w = at[~known], f[~known], w[~known, None]
             if len(f):
                 # Entries come by passage, so those of a passage stand together.
                 first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                y[at[first]] += np.add.reduceat(small[f] * w, first)
+                y[at[first]] += np.add.reduceat(m[f] * w, first)
                 order = np.argsort(f, kind="stable")
                 terms, first = np.unique(f[order], return_index=True)
                 total[terms] += np.add.reduceat(y[at[order]] * w[order], first)
@@ -211,7 +206,7 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int, items: list |
     for i, ids in enumerate(items or ()):
         f, w = _weighted(np.array(ids), idf)
         own[i, f] = w
-    blocks = stash(passages.mapInArrow(_blocks(idf), "n long, at binary, f binary, w binary"), "passages")
+    blocks = stash(passages.mapInArrow(_blocks, "n long, at binary, f binary, times binary"), "passages")
     scale = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] / max(1, len(own))
     times = lambda m: _times(blocks, m, idf) + scale * (own.T @ (own @ m))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(idf), width)))[0]

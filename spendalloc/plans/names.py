@@ -8,7 +8,7 @@ from ..functions.text import clean_person, fold, letter_sig, masculine, name_nor
 from ..operators import cascade as C
 from ..operators import ledgers, measure, roster
 from ..operators.centers import decide_match
-from ..operators.common import cut_lineage
+from ..operators.common import cut_lineage, keep
 from . import views as V
 
 _MATCH = ["norm", "staff_id", "method", "confidence", "candidate_count"]
@@ -482,6 +482,8 @@ def ledger_merge(spark, d) -> DataFrame:
     s = V.roster(spark, d).withColumn("norm", name_norm("full_name")).filter("norm <> ''")
     one = s.groupBy(F.col("norm").alias("name_norm")).agg(
         F.max_by("staff_id", "load_seq").alias("staff_id"), F.max("load_seq").alias("load_seq"))
+    # The three tables are cuts of one; kept under its keys, it meets itself without another shuffle.
+    one = keep(one)
     old = one.filter(F.col("load_seq") % 3 == 0).withColumn("source", F.lit("old"))
     new = one.withColumns({"staff_id": F.concat(F.lit("N"), "staff_id"), "source": F.lit("derived")})
     human = one.filter(F.col("load_seq") % 5 == 0).withColumns(

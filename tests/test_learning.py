@@ -63,3 +63,24 @@ def test_late_lines(spark, tmp_path):
     send(1, [(3, t(8)), (4, t(11))])
     got = {r["id"]: r["is_late"] == "true" for r in spark.read.parquet(f"{out}/lines").collect()}
     assert got == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_merge_reads_and_deals_the_roster_once(spark, tmp_path):
+    from spendalloc.plans.names import ledger_merge
+    docs = [(i, f"Ali Veli {'abcdefgh'[i % 8]}x Kaya Han {'stuvw'[i % 5]}y", "s", "en", 20) for i in range(40)]
+    for turn in (0, 1):
+        path = tmp_path / str(turn)
+        spark.createDataFrame(docs[turn:], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(
+            str(path / "documents.parquet"))
+        out = ledger_merge(spark, str(path))
+        rows = {r["name_norm"]: (r["staff_id"], r["source"]) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") <= 1
+        newest = {}
+        for i, text, *_ in docs[turn:]:
+            w = text.upper().split(" ")
+            for n, name in enumerate((" ".join(w[:3]), " ".join(w[3:]))):
+                newest[name] = i * 1_000_000 + n
+        want = {k: (f"H{v}", "human") if v % 5 == 0 else (str(v), "old") if v % 3 == 0 else (f"N{v}", "derived")
+                for k, v in newest.items()}
+        assert rows == want

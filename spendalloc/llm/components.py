@@ -3,11 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang the neighbours of each node on its least neighbour: the larger ones, or the node and the smaller ones."""
+    """Hang the neighbours of each node on its least neighbour: the larger ones, or the node and the smaller ones.
+
+    The written table of edges is replaced by the one returned."""
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
@@ -20,7 +22,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    out = stash(out.filter("a <> b").distinct(), "edges")
+    release(edges, least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stash(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     before = None
     while True:
-        edges = stash(_star(stash(_star(edges, True), "edges"), False), "edges")
+        edges = _star(_star(edges, True), False)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -1,5 +1,8 @@
 """Splitting money between centres and companies (A1-A10)."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -7,7 +10,7 @@ from ..functions import vocab as V
 from ..functions.text import column_key, company_of, is_entity, site_key
 from ..functions.values import CENTS, cents
 from .asof import spread_null
-from .common import block_row_number, top_per_group
+from .common import block_row_number, cut_lineage, top_per_group
 
 PART = "decimal(28,10)"
 LINE = ["source_seq", "row_no"]
@@ -56,7 +59,8 @@ def _share_plans(noted: DataFrame, keys: DataFrame) -> DataFrame:
 
     noted has _skey, _shares. Labels are read and looked up here, once per
     distinct list instead of once per line."""
-    e = noted.groupBy("_skey").agg(F.first("_shares").alias("_shares")).select(
+    # Distinct first, so that nothing but a handful of lists is ever sorted.
+    e = noted.distinct().groupBy("_skey").agg(F.first("_shares").alias("_shares")).select(
         "_skey", F.posexplode("_shares").alias("_pos", "_s"))
     e = e.select("_skey", "_pos", F.trim("_s.label").alias("_label"), F.col("_s.num").alias("_num"), F.col("_s.den").alias("_den"))
     e = e.withColumns({"_lkey": site_key("_label"), "_canon": company_of("_label"), "_entity": is_entity("_label")})
@@ -96,7 +100,9 @@ def explode_shares(lines: DataFrame, keys: DataFrame, inherited: bool = True) ->
     A project label moves centre and company, an entity label only the
     company, any other label is no share. Parts below one leave the rest with
     the line's own company; parts above one are not applied. Lines are not
-    regrouped: each joins the plan of its share list and is then unfolded."""
+    regrouped: each joins the plan of its share list and is then unfolded. The
+    plans are written, so that a few of them are broadcast by their size instead
+    of bringing all lines of a common list into one task."""
     none = F.array().cast(lines.schema["shares"].dataType)
     own = F.coalesce("shares", none)
     if inherited and "inherited_shares" in lines.columns:
@@ -108,7 +114,7 @@ def explode_shares(lines: DataFrame, keys: DataFrame, inherited: bool = True) ->
         F.coalesce(s["label"], F.lit("")), F.lit("\u0001"), F.coalesce(s["num"], F.lit(0)), F.lit("/"),
         F.coalesce(s["den"], F.lit(0)))), "\u0002")
     df = df.withColumn("_skey", F.when(F.size("_shares") > 0, text))
-    plans = _share_plans(df.filter("_skey is not null").select("_skey", "_shares"), keys)
+    plans = cut_lineage(_share_plans(df.filter("_skey is not null").select("_skey", "_shares"), keys))
     # Lines without shares carry spread keys that match nothing.
     j = df.withColumn("_jkey", spread_null("_skey", *LINE)).drop("_skey", "_shares").join(
         plans.withColumnRenamed("_skey", "_jkey"), "_jkey", "left")
@@ -205,11 +211,25 @@ def allocation_parts(parts: DataFrame) -> DataFrame:
         F.nullif(doc, F.lit("")).alias("doc"), *LINE)
 
 
-def allocate(parts: DataFrame, details: bool = True) -> DataFrame:
+def _first_centers(p: DataFrame) -> DataFrame:
+    """Centre name and map flag of the first part of each allocation row, under renamed keys.
+
+    Numbers are reduced per name before names are compared: a text in an
+    aggregate's buffer would have all parts sorted."""
+    own = ["cost_center_name", "in_map"]
+    least = p.groupBy(*KEY, *own, LINE[0]).agg(
+        F.min(LINE[1]).alias(LINE[1]), F.max(F.col(LINE[1]).isNull()).alias("_none"))
+    at = F.struct(LINE[0], F.when(~F.col("_none"), F.col(LINE[1])))
+    first = least.groupBy(*KEY).agg(F.min_by(F.struct(*own), at).alias("_f"))
+    return first.select(*[F.col(k).alias(f"_{k}") for k in KEY], "_f.*")
+
+
+def allocate(parts: DataFrame, details: bool = True, centers: bool = True) -> DataFrame:
     """Allocation rows. Money is summed exactly and rounded once.
 
     Labels and document numbers are reduced to distinct values first; of the
-    documents only the first five per row are carried, plus a count."""
+    documents only the first five per row are carried, plus a count. Without
+    `centers`, centre name and map flag of a row are left out."""
     p = allocation_parts(parts)
     rows = p.groupBy(*KEY).agg(
         cents(F.sum("part")).alias("amount"),
@@ -218,9 +238,10 @@ def allocate(parts: DataFrame, details: bool = True) -> DataFrame:
         F.count_if(F.col("decision") == V.AUTO).alias("n_auto"),
         F.count_if(F.col("decision") == V.REVIEW).alias("n_review"),
         F.count_if(~F.col("decision").isin(V.AUTO, V.REVIEW)).alias("n_unmatched"),
-        F.min("doc_date").alias("first_date"), F.max("doc_date").alias("last_date"),
-        F.min_by("cost_center_name", F.struct(*LINE)).alias("cost_center_name"),
-        F.min_by("in_map", F.struct(*LINE)).alias("in_map"))
+        F.min("doc_date").alias("first_date"), F.max("doc_date").alias("last_date"))
+    if centers:
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY])
+        rows = rows.join(_first_centers(p), same).drop(*[f"_{k}" for k in KEY])
     if not details:
         return rows
     labels = p.filter("label is not null").select(*KEY, "label").distinct().groupBy(*KEY).agg(
@@ -239,8 +260,10 @@ def settle_remainder(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """A10: the rounding rest of a feed and currency goes to its largest row.
 
     targets has feed, currency, target. Gaps above 0.50 are no rounding and
-    stay open."""
+    stay open. The rows meet themselves, so they are written once instead of
+    being allocated twice."""
     group = ["feed", "currency"]
+    rows = cut_lineage(rows)
     have = rows.groupBy(*group).agg(
         F.sum("amount").alias("have"),
         F.max_by(F.struct(*[c for c in KEY if c not in group]),

@@ -340,8 +340,8 @@ def release_gate(spark, d) -> DataFrame:
     kept, pairs = dedup.eliminate(p)
     kept = cut_lineage(kept)
     keys = centers.map_keys(V.cmap(spark, d), {})
-    rows = A.settle_remainder(A.allocate(A.explode_shares(kept, keys), details=False), reconcile.targets(p, pairs))
-    rows = cut_lineage(rows)
+    rows = A.allocate(A.explode_shares(kept, keys), details=False).select(*A.KEY, "amount", "in_map")
+    rows = cut_lineage(A.settle_remainder(rows, reconcile.targets(p, pairs)))
     sus = cut_lineage(dedup.suspicions(p, kept, pairs))
     closed = cut_lineage(reconcile.close(reconcile.control(p, rows, pairs, sus)))
     return reconcile.release_gate(closed, rows, kept, sus, dedup.sign_conflicts(dedup.paired(p, pairs))).select(

@@ -137,7 +137,7 @@ def _settle_lines(spark, d, label=True) -> DataFrame:
 def share_allocate(spark, d) -> DataFrame:
     """Shares exploded and summed to allocation rows."""
     keys = centers.map_keys(V.cmap(spark, d), {})
-    rows = A.allocate(A.explode_shares(_settle_lines(spark, d), keys), details=False)
+    rows = A.allocate(A.explode_shares(_settle_lines(spark, d), keys), details=False, centers=False)
     return rows.select("feed", "category", "cost_center", "company", "currency", "share_note", "amount",
                        "n_lines", "n_persons", "n_auto", "n_unmatched", "first_date", "last_date")
 
@@ -178,7 +178,7 @@ def remainder_settle(spark, d) -> DataFrame:
     """A10: rounding rests go to the largest row of a feed and currency."""
     keys = centers.map_keys(V.cmap(spark, d), {})
     l = _thirds(spark, d)
-    rows = A.allocate(A.explode_shares(l, keys), details=False)
+    rows = A.allocate(A.explode_shares(l, keys), details=False, centers=False).select(*A.KEY, "amount")
     out = A.settle_remainder(rows, reconcile.targets(l))
     return out.groupBy("feed", "currency", "company").agg(
         F.sum("amount").cast(CENTS).alias("amount"), F.count(F.lit(1)).alias("n_rows"))
@@ -264,7 +264,7 @@ def _closed(spark, d) -> DataFrame:
     amountless = l.filter("amount is null")
     paid = l.filter("amount is not null")
     keys = centers.map_keys(V.cmap(spark, d), {})
-    rows = A.allocate(A.explode_shares(paid, keys), details=False)
+    rows = A.allocate(A.explode_shares(paid, keys), details=False, centers=False).select(*A.KEY, "amount")
     rows = A.settle_remainder(rows, reconcile.targets(paid))
     return reconcile.close(reconcile.control(paid, rows, amountless=amountless))
 
@@ -392,7 +392,7 @@ def dedup_overlap(spark, d) -> DataFrame:
     from ..operators.reconcile import control
     p = dedup.prepare(V.copies(spark, d))
     kept, pairs = dedup.eliminate(p)
-    rows = A.allocate(A.explode_shares(kept, centers.map_keys(V.cmap(spark, d), {})), details=False)
+    rows = A.allocate(A.explode_shares(kept, centers.map_keys(V.cmap(spark, d), {})), details=False, centers=False)
     return dedup.overlap_warnings(control(p, rows, pairs))
 
 

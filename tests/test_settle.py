@@ -142,3 +142,44 @@ def test_detail_and_mismatch(spark):
     assert gate["gate"] == "CLOSED"
     tot = C.totals(ctl).head()
     assert tot["net"] == Dec("16.00") and tot["rate"] == Dec("100.00")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_common_share_list_stay_where_they_are(spark):
+    t = A.eligible(table(spark, [dict(amount=i + 1, shares=[("RHI", 1, 3), ("RSS", 2, 3)]) for i in range(20)]))
+    parts = A.explode_shares(t, keys(spark))
+    # The list's plan goes to the lines; they are neither shuffled by their list nor sorted.
+    assert "BroadcastHashJoin" in plan_of(parts) and "SortMergeJoin" not in plan_of(parts)
+    assert parts.count() == 40 and parts.agg(F.sum("part")).head()[0] == Dec(210)
+
+
+def test_first_centre_of_a_row(spark):
+    t = A.eligible(table(spark, [
+        dict(source_seq=2, row_no=1, cost_center_name="late", in_map=False),
+        dict(source_seq=1, row_no=9, cost_center_name="first", in_map=True),
+        dict(source_seq=3, row_no=None, cost_center_name="last"),
+        dict(source_file="b", row_no=4, cost_center_name="four"), dict(source_file="b", row_no=None, cost_center_name=None),
+    ])).withColumn("feed", F.nullif("feed", F.lit("b")))
+    parts = A.explode_shares(t, keys(spark))
+    got = {r["feed"]: r for r in A.allocate(parts, details=False).collect()}
+    assert set(got) == {"a.xls", None}
+    assert (got["a.xls"]["cost_center_name"], got["a.xls"]["in_map"], got["a.xls"]["n_lines"]) == ("first", True, 3)
+    # A null number comes first, and a row of null keys keeps its centre.
+    assert (got[None]["cost_center_name"], got[None]["n_lines"], got[None]["n_persons"]) == (None, 2, 1)
+    # Every part goes through hash aggregates; only their few rows are sorted.
+    assert "SortAggregate" not in plan_of(A.allocate(parts, details=False, centers=False))
+    # Texts of the first part are compared after numbers were reduced per name.
+    assert plan_of(A.allocate(parts, details=False)).count("HashAggregate") > plan_of(
+        A.allocate(parts, details=False, centers=False)).count("HashAggregate")
+
+
+def test_settling_reads_written_rows(spark):
+    S = [("RHI", 1, 3), ("RSS", 1, 3), ("BSK", 1, 3)]
+    t = A.eligible(table(spark, [dict(amount=100, shares=S)]))
+    out = A.settle_remainder(A.allocate(A.explode_shares(t, keys(spark)), details=False), C.targets(t))
+    # The parts are unfolded once, before the rows meet themselves.
+    assert "Generate" not in plan_of(out)
+    assert sorted(r["amount"] for r in out.collect()) == [Dec("33.33"), Dec("33.33"), Dec("33.34")]

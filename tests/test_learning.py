@@ -84,3 +84,16 @@ def test_merge_reads_and_deals_the_roster_once(spark, tmp_path):
         want = {k: (f"H{v}", "human") if v % 5 == 0 else (str(v), "old") if v % 3 == 0 else (f"N{v}", "derived")
                 for k, v in newest.items()}
         assert rows == want
+
+
+def test_documents_are_dealt_out_and_read_once(spark, sf):
+    from spendalloc.plans import names, views
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # Few tasks read a compressed file of texts; the names are unfolded by as many as there is data.
+    r = plan(views.roster(spark, sf))
+    assert r.index("Generate") < r.index("hashpartitioning(doc_id") < r.index("FileScan")
+    # Neither names nor ids go back to the documents.
+    for q in (names.bridge_derive, names.bridge_summary, names.ledger_feed, names.ledger_report):
+        assert "documents.parquet" not in q(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "documents.parquet" not in plan(q(spark, sf))

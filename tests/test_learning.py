@@ -91,7 +91,7 @@ def test_documents_are_dealt_out_and_read_once(spark, sf):
 
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     # Few tasks read a compressed file of texts; the names are unfolded by as many as there is data.
-    r = plan(views.roster(spark, sf))
+    r = plan(views.roster(spark, sf, deal=True))
     assert r.index("Generate") < r.index("hashpartitioning(doc_id") < r.index("FileScan")
     # Neither names nor ids go back to the documents.
     for q in (names.bridge_derive, names.bridge_summary, names.ledger_feed, names.ledger_report):

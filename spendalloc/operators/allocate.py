@@ -152,9 +152,12 @@ def company_key(label) -> Column:
 
 
 def pool_totals(detail: DataFrame) -> DataFrame:
-    """Declared pool per company, all its spellings together: detail has company, amount."""
+    """Declared pool per company, all its spellings together: detail has company, amount.
+
+    Written, so that a few pools go to the persons by their size; dealt out by
+    pool, all persons of one would be read by one task."""
     d = detail.withColumn("company", company_key("company")).filter("company is not null and amount is not null")
-    return d.groupBy("company").agg(F.sum("amount").cast("decimal(28,6)").alias("pool"))
+    return cut_lineage(d.groupBy("company").agg(F.sum("amount").cast("decimal(28,6)").alias("pool")))
 
 
 def bridge_pools(persons: DataFrame, pools: DataFrame) -> DataFrame:
@@ -164,7 +167,7 @@ def bridge_pools(persons: DataFrame, pools: DataFrame) -> DataFrame:
     result adds pool_company. Without a company, or where several pools or none
     are without persons, it stays null."""
     p = persons.withColumn("_company", company_key("company"))
-    have = p.select("_company").distinct()
+    have = cut_lineage(p.select("_company").distinct())
     empty = pools.select("company").join(have, F.col("company") == F.col("_company"), "left_anti")
     only = empty.agg(F.count(F.lit(1)).alias("n"), F.first("company").alias("c"))
     lone = only.select(F.when(F.col("n") == 1, F.col("c")).alias("c")).scalar()
@@ -177,11 +180,12 @@ def bridge_pools(persons: DataFrame, pools: DataFrame) -> DataFrame:
 def split_pool(persons: DataFrame, pools: DataFrame, order=("source_seq", "row_no")) -> DataFrame:
     """Equal shares to the cent; surplus cents go to the first persons.
 
-    A pool may hold most of the rows: positions are counted over row blocks."""
-    p = persons.filter(F.col("pool_company").isNotNull())
+    A pool may hold most of the rows: positions are counted over row blocks,
+    and the size of each pool is written and goes to the rows by its own size."""
+    p = cut_lineage(persons.filter(F.col("pool_company").isNotNull()))
     sized = p.groupBy("pool_company").agg(F.count(F.lit(1)).alias("n"))
-    sized = pools.select(F.col("company").alias("pool_company"),
-                         F.round(F.col("pool") * 100).cast("bigint").alias("pool_cents")).join(sized, "pool_company")
+    sized = cut_lineage(pools.select(F.col("company").alias("pool_company"), F.round(F.col("pool") * 100).cast(
+        "bigint").alias("pool_cents")).join(sized, "pool_company"))
     ranked = block_row_number(p, ["pool_company"], list(order), "pos")
     j = ranked.join(sized, "pool_company")
     size, extra = F.expr("pool_cents div n"), F.expr("pmod(pool_cents, n)")

@@ -110,6 +110,28 @@ def test_pools(spark):
     assert [r["amount"] for r in out.filter("pool_company = 'RSD'").collect()] == [Dec("76.78")]
 
 
+def test_pool_of_most_persons_is_not_dealt_by_pool(spark):
+    """Persons meet the sizes of their pools without being dealt out by the pool alone."""
+    persons = spark.createDataFrame([(0, i, "RHI" if i % 9 else "RSD") for i in range(3000)],
+                                    "source_seq int, row_no bigint, company string")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "20k")  # below the persons, above two pools
+    try:
+        pools = A.pool_totals(spark.createDataFrame([("RHI", Dec(100)), ("RSD", Dec("-0.05"))], "company string, amount decimal(18,6)"))
+        out = A.split_pool(A.bridge_pools(persons, pools), pools)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        dealt = [x.split("hashpartitioning(")[1].split(")")[0] for x in plan.splitlines() if "hashpartitioning(" in x]
+        # By the pool alone only the counts of its blocks are dealt out.
+        assert [len([x for x in dealt if ("_block" in x) == block]) for block in (False, True)] == [1, 2], dealt
+        got = {r["pool_company"]: (r["n"], r["a"]) for r in out.groupBy("pool_company").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("amount").alias("a")).collect()}
+        assert got == {"RHI": (2666, Dec("100.00")), "RSD": (334, Dec("-0.05"))}
+        assert out.filter("pool_company = 'RHI'").orderBy("row_no").head()["amount"] == Dec("0.04")
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_pools_of_other_spellings(spark):
     persons = spark.createDataFrame(
         [(0, 1, "RC Peter"), (0, 2, "rc_moskova"), (0, 3, "Renstroydetal"), (0, 4, "YENI A.S."), (0, 5, " "), (0, 6, None)],

@@ -119,6 +119,22 @@ def test_layouts(spark):
     assert {(r["msg_id"], r["label"], r["agrees"]) for r in bad} == {(2, "AA", False), (2, "BB", False)}
 
 
+def test_message_items_are_searched_once(spark):
+    """Rules over labels and currencies hold, rows of one id count as one message, and texts are searched once."""
+    texts = [(1, "AA\n$ 1,00\nBB\n$ 2,00\nTOPLAM\n$ 3,00\n"), (2, "AA\n$ 1,00\nBB\n€ 2,00\n"),
+             (3, "AA\n$ 1,00\n"), (3, "BB\n$ 5,00\nTotal\n$ 6,00\n"), (4, "AA\n$ 1,00\n"), (4, "aa\n$ 1,00\n"),
+             (5, "AA\n€ 1,00\nBB\n€ 2,00\nCC\n€ 2,00\n"), (6, None), (None, "AA\n$ 1,00\nBB\n$ 2,00\n"),
+             (7, "AA\n$ 1,00\nBB\n$ 2,00\nTOTAL\n$ 9,00\nTOPLAM\n₺ 3,00\n"), (8, "AA\n$ 1,00\naa\n€ 1,00\nBB\n$ 1,00\n")]
+    out = kinds.summary_items(spark.createDataFrame(texts, "msg_id int, text string"))
+    assert "regexp_extract_all" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["msg_id"], r["label"], r["amount"], r["currency"], r["declared"], r["agrees"]) for r in out.collect())
+    assert got == [
+        (1, "AA", Dec(1), "USD", Dec(3), True), (1, "BB", Dec(2), "USD", Dec(3), True),
+        (3, "AA", Dec(1), "USD", Dec(6), True), (3, "BB", Dec(5), "USD", Dec(6), True),
+        (5, "AA", Dec(1), "EUR", None, True), (5, "BB", Dec(2), "EUR", None, True), (5, "CC", Dec(2), "EUR", None, True),
+        (7, "AA", Dec(1), "USD", Dec(9), False), (7, "BB", Dec(2), "USD", Dec(9), False)]
+
+
 def test_sinks(spark, tmp_path):
     assert len(sinks.LINE_COLUMNS) == 28 and len(sinks.ALLOCATION_COLUMNS) == 18
     rows = spark.createDataFrame(

@@ -61,6 +61,47 @@ def test_chains_and_groups_of_near_copies(spark):
         assert result(got, "doc_id", "n_shingles", "component_id") == brute(data, percent=percent)
 
 
+def test_whole_sets_meet_only_where_prefixes_allow_a_link(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda: "w%d" % r.randrange(10 ** 6)
+    passage = [word() for _ in range(60)]
+    # Sixty texts share a passage but are not alike; six are near copies of one of them.
+    texts = [[word() for _ in range(60)] + passage + [word() for _ in range(60)] for _ in range(60)]
+    texts += [texts[0][:k * 20] + [word()] + texts[0][k * 20 + 1:] for k in range(6)]
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    compared, held, sketched = [], [], set_join._sketch
+    compare = set_join._compare
+    monkeypatch.setattr(set_join, "_compare", lambda pairs, *a: compared.append(pairs.count()) or compare(pairs, *a))
+    monkeypatch.setattr(set_join, "_sketch", lambda *a: held.append(a[4:]) or sketched(*a))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for bits in (1 << 20, 1 << 13):
+        got = set_join.similar_components(docs, 4, 85, max_bits=bits)
+        assert result(got, "doc_id", "n_shingles", "component_id") == brute(data)
+    # Far fewer shingles than bits: all go into the filter. More: a part that it can tell apart, one place each.
+    (part, places), (less, place) = held
+    assert (part, places) == (1, 2) and 0 < less < 1 and place == 1
+    assert sum(compared) < 60
+
+
+def test_prefixes_keep_all_pairs_that_link(spark):
+    r = random.Random(5)
+    rows, sets = [], []
+    for i in range(60):
+        base = sets[r.randrange(i)][0] if i and r.random() < .7 else {r.randrange(4000) for _ in range(r.randint(1, 90))}
+        s = set(base)
+        for _ in range(r.randint(0, 12)):
+            s ^= {r.randrange(4000)}
+        n = len(s)
+        sets.append((s, n))
+        rows.append((i, sorted(s)[:n - (85 * n + 99) // 100 + 1 if n else 0]))
+    pairs = [(i, sets[i][1], j, sets[j][1]) for i in range(60) for j in range(60) if i != j and sets[i][1] and sets[j][1]]
+    got = set_join._prefixes_allow(spark.createDataFrame(pairs, "sid long, n long, pivot long, pn long"),
+                                   spark.createDataFrame(rows, "sid long, prefix array<long>"), 85)
+    got = {(x["sid"], x["pivot"]) for x in got.collect()}
+    links = {(i, j) for i, _, j, _ in pairs if 100 * len(sets[i][0] & sets[j][0]) >= 85 * len(sets[i][0] | sets[j][0])}
+    assert links and links <= got < {(i, j) for i, _, j, _ in pairs}
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 360)]
